@@ -7,11 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.garbled import damaged, repair
+from pagemill.llm.markup import convert
 from pagemill.llm.mixing import mix
 from pagemill.llm.packing import container_fill, divided, pack
 from pagemill.session import table
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of entries and descriptions of feeds."""
+    entries = table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", F.col("summary").alias("text"))
+    feeds = table(spark, sf_dir, "feeds").select(F.lit("feeds").alias("table_name"), F.col("snap_id").alias("row_id"), F.col("description").alias("text"))
+    return entries.union(feeds)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert(_described(spark, sf_dir), "text", cleaning=False).filter(F.size("families") > 0).select("table_name", "row_id")
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert(_described(spark, sf_dir), "text").select("table_name", "row_id", F.array_join("families", " ").alias("families"), "clean")
+
+
+def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and summaries of entries and texts of paragraphs, one row per value."""
+
+    def field(name: str, key: str, column: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), F.lit(column).alias("field"), F.col(column).alias("text"))
+
+    return field("entries", "row_id", "title").union(field("entries", "row_id", "summary")).union(field("paragraphs", "para_id", "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged(_decoded(spark, sf_dir))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(_decoded(spark, sf_dir))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     capacity = table(spark, sf_dir, "containers").agg(F.min("capacity")).head()[0]
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity), capacity
@@ -38,6 +72,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
