@@ -194,10 +194,14 @@ def clean(text: str, found: list[str] | None = None) -> str:
     text = _VERBATIM.sub(lambda m: kept.code(m[2]), text)
     text = _BLOCK_MATH.sub(lambda m: kept.formula(m[1] or m[2] or m[5], True), text)
     text = _INLINE_MATH.sub(lambda m: kept.formula(m[1] or m[2] or m[3] or "", False), text)
-    text = _html(text)
+    if "html" in found:
+        text = _html(text)
     if "latex" in found:
         text = _latex(text)
-    text = _markdown(_wiki(text))
+    if "wiki" in found:
+        text = _wiki(text)
+    if "markdown" in found or "wiki" in found:
+        text = _markdown(text)
     text = re.sub(r"[ \t]+$|^[ \t]+(?=\S)", "", re.sub(r"[ \u00a0]{2,}", " ", text), flags=re.M)
     return kept.restore(re.sub(r"\n{3,}", "\n\n", text).strip())
 

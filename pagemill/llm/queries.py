@@ -8,12 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.garbled import damaged, repair
+from pagemill.llm.languages import documents_languages, mislabelled, passages
 from pagemill.llm.markup import convert
 from pagemill.llm.mixing import mix
 from pagemill.llm.packing import container_fill, divided, pack
 from pagemill.session import table
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the summaries of entries and the texts of paragraphs, with the declared language."""
+    entries = table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", "lang", F.col("summary").alias("text"))
+    paragraphs = table(spark, sf_dir, "paragraphs").select(F.lit("paragraphs").alias("table_name"), F.col("para_id").alias("row_id"), "lang", "text")
+    return passages(entries.union(paragraphs), "text", table(spark, sf_dir, "langsamples"), "lang")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mislabelled(_labelled(spark, sf_dir), "lang")
+    return found.select("table_name", "row_id", F.col("language").alias("lang"))
+
+
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_languages(_labelled(spark, sf_dir)).select("table_name", "row_id", "language", "confidence")
+
+
+def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir).select("table_name", "row_id", F.inline("passages"))
+
+
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of entries and descriptions of feeds."""
     entries = table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", F.col("summary").alias("text"))
@@ -72,6 +93,9 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_documents": p1_documents,
+    "p1_passages": p1_passages,
     "p4_found": p4_found,
     "p4_clean": p4_clean,
     "p5_found": p5_found,
