@@ -12,6 +12,7 @@ from pagemill.llm.languages import documents_languages, mislabelled, passages
 from pagemill.llm.markup import convert
 from pagemill.llm.mixing import mix
 from pagemill.llm.packing import container_fill, divided, pack
+from pagemill.llm.personal import mentions, redact
 from pagemill.session import table
 
 
@@ -92,6 +93,19 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixtargets"))[1]
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "namelist"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _mentions(spark, sf_dir).select("doc_id", F.explode("found").alias("m"))
+    return found.select("doc_id", F.col("m.type").alias("pii_type"), F.col("m.start").alias("start_pos"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(_mentions(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_documents": p1_documents,
@@ -105,5 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 ORACLES: dict[str, str] = {}
