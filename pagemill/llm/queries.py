@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.boilerplate import boilerplate
 from pagemill.llm.garbled import damaged, repair
 from pagemill.llm.languages import documents_languages, mislabelled, passages
 from pagemill.llm.markup import convert
@@ -51,6 +52,13 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert(_described(spark, sf_dir), "text").select("table_name", "row_id", F.array_join("families", " ").alias("families"), "clean")
 
 
+def p4_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_replace(F.regexp_extract(F.lower("url"), r"^[a-z]+://([^/?#:]+)", 1), r"^(?:www|m|blog)\.", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.nullif(host, F.lit("")).alias("host"))
+    units = table(spark, sf_dir, "paragraphs").join(pages, "page_id", "left")
+    return boilerplate(units.select("host", "page_id", F.col("para_id").alias("unit_id"), "text"))
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles and summaries of entries and texts of paragraphs, one row per value."""
 
@@ -112,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_passages": p1_passages,
     "p4_found": p4_found,
     "p4_clean": p4_clean,
+    "p4_boilerplate": p4_boilerplate,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
     "p6_found": p6_found,
