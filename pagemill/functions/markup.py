@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.sources.tree import HTML, RAWTEXT, VOID, Node
 
+_NO_END = VOID | {"basefont", "bgsound", "frame", "keygen"}
 _RAW = RAWTEXT | {"script", "plaintext", "noscript"}
 # Elements that stand on lines of their own.
 BLOCK = frozenset(
@@ -56,7 +57,7 @@ def serialize(node: Node, inner: bool = False) -> str:
         elif n.kind == "element":
             attrs = "".join(f' {k}="{escape_value(v)}"' for k, v in n.attrs.items())
             out.append(f"<{n.tag}{attrs}>")
-            if not (n.ns == HTML and n.tag in VOID):
+            if not (n.ns == HTML and n.tag in _NO_END):
                 stack.append(f"</{n.tag}>")
                 stack.extend(reversed((n.content or n).children))
         elif n.kind == "text":

@@ -28,6 +28,11 @@ NEVER = frozenset(
     "hover focus focus-within focus-visible active target target-within visited modal fullscreen picture-in-picture playing "
     "paused muted current past future user-valid user-invalid autofill popover-open".split()
 )
+# Pseudo-classes without arguments that a static page can match.
+STATIC = frozenset(
+    "root scope empty first-child last-child only-child first-of-type last-of-type only-of-type link any-link checked required "
+    "optional read-write read-only defined placeholder-shown indeterminate enabled disabled default".split()
+)
 CONTROLS = ("button", "input", "select", "textarea", "optgroup", "option", "fieldset")
 TEXTUAL = ("text", "search", "url", "tel", "email", "password", "date", "month", "week", "time", "datetime-local", "number", "")
 
@@ -199,6 +204,8 @@ class Parser:
             raise SelectorError("pseudo-elements select no node")
         name = self.ident().lower()
         if self.peek() != "(":
+            if name not in STATIC | NEVER:
+                raise SelectorError(f"unknown pseudo-class {name}")
             return Simple("pseudo", name)
         self.at += 1
         simple = Simple("pseudo", name, op="(")
