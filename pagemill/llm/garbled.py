@@ -237,7 +237,8 @@ def token_repairs(values: DataFrame) -> DataFrame:
     )
     skeleton = F.regexp_replace(F.lower(F.col("token")), _OTHER, "")
     lost = sure.filter("fixed IS NULL").select("token", skeleton.alias("skeleton"))
-    whole = every.filter(F.col("token").rlike(_OTHER)).join(proposed.select("token"), "token", "left_anti").withColumn("skeleton", skeleton)
+    broken = sure.select("token").union(likely.select("token"))
+    whole = every.filter(F.col("token").rlike(_OTHER)).join(broken, "token", "left_anti").withColumn("skeleton", skeleton)
     twin = whole.filter(F.length("skeleton") >= 3).groupBy("skeleton").agg(F.max_by("token", F.struct("n", "token")).alias("twin"))
     recovered = lost.join(twin, "skeleton", "left").select("token", F.col("twin").alias("fixed"), F.lit(None).cast("string").alias("read_as"), F.lit(None).cast("string").alias("bytes_of"))
     return materialize(sure.filter("fixed IS NOT NULL").unionByName(likely).unionByName(recovered), "repairs")

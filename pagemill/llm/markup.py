@@ -49,7 +49,7 @@ MARKDOWN = re.compile(
 _ITEM = re.compile(r"^ {0,6}(?:[-+*]|\*{2,3}|#{2,3}|[0-9]{1,3}[.)])[ \t]+(?=\S)", re.M)
 WIKI = re.compile(
     r"(?<![\w'])'{2,5}(?=[^\s'])[^'\n]|(?<=[^\s'])'{2,5}(?![\w'])|^={2,6}[ \t]*[^=\s][^=\n]*(?:={2,6}[ \t]*$|\Z)"
-    r"|\[\[[^\[\]\n]+(?:\]\]|\Z)|\]\]|\{\{[^{}\n]*(?:\}\}|\||\Z)|\}\}|^\{\||^\|\}|^\|-|\[https?://[^\]\s]*(?:[ \]]|\Z)|__[A-Z]{3,}__",
+    r"|\[\[[^\[\]\n]+(?:\]\]|\Z)|\]\]|\{\{[^{}\n]*(?:\}\}|\||\Z)|\}\}|^\{\||^\|\}|^\|-(?![-: |]*\|)|\[https?://[^\]\s]*(?:[ \]]|\Z)|__[A-Z]{3,}__",
     re.M,
 )
 LATEX = re.compile(
@@ -137,7 +137,7 @@ def _html(text: str) -> str:
 
 def _wiki(text: str) -> str:
     text = re.sub(r"^(={2,6})[ \t]*([^=\n]+?)[ \t]*(?:={2,6})?[ \t]*$", lambda m: "\n" + "#" * len(m[1]) + " " + m[2] + "\n", text, flags=re.M)
-    text = re.sub(r"^(?:\{\||\|\}|\|-|\|\+).*$", "", text, flags=re.M)
+    text = re.sub(r"^(?:\{\||\|\}|\|-(?![-: |]*\|)|\|\+).*$", "", text, flags=re.M)
     text = re.sub(r"^[!|][ \t]*(.*)$", lambda m: re.sub(r"[ \t]*(?:\|\||!!)[ \t]*", "\t", m[1]) if "||" in m[1] or "!!" in m[1] or m[0][0] == "!" else m[0], text, flags=re.M)
     text = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)(?:\]\]|\Z)", r"\1", text)
     text = re.sub(r"\[https?://\S+[ \t]+([^\]\n]*)(?:\]|\Z)|\[(https?://[^\]\s]*)\]", lambda m: m[1] or m[2] or "", text)

@@ -1,8 +1,8 @@
 """Sizes of texts in tokens of a public byte-level BPE tokenizer.
 
-The splitting pattern of the tokenizer never joins a line end with the visible character that follows it, so the number of
-tokens of a text is the sum over its chunks cut between a line end and a visible character. Counts of chunks that occur
-again, which in subtitles is most of the text, come from a table of bounded size; the sum is exact for every text.
+The splitting pattern of the tokenizer takes a line end before a visible character as a piece of its own, so the number of
+tokens of a text is the sum over its chunks cut before such line ends. Counts of chunks that occur again, which in
+subtitles is most of the text, come from a table of bounded size; the sum is exact for every text.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Chunks whose counts a worker keeps; beyond it the table starts afresh.
 KEPT = 200_000
 
-_CHUNK = re.compile(r"(?<=\n)(?=\S)")
-_SIGNS = re.compile(r"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
+_CHUNK = re.compile(r"(?=\n\S)")
+_SIGNS = re.compile(r"[\x00-\x1b\x20-\x40\x5b-\x60\x7b-\x7f]+")
 _PIECE = re.compile(r" ?[0-9]+| ?[^\s0-9]+|\s+(?!\S)|\s+")
-_FRAME = re.compile(r"(?:﻿?\s*[0-9]+|[^\n]*-->[^\n]*|(?:WEBVTT|NOTE|STYLE|REGION)\b[^\n]*)\s*")
+_FRAME = re.compile(r"\s*(?:﻿?\s*[0-9]+|[^\n]*-->[^\n]*|(?:WEBVTT|NOTE|STYLE|REGION)\b[^\n]*)\s*")
 _LOADED: dict[str, object] = {}
 
 
