@@ -14,7 +14,7 @@ from pagemill.operators import extract
 from pagemill.operators.cleaning import linkify, render, sanitize
 from pagemill.operators.selectors import axis, closest, select
 from pagemill.operators.xpath import xpath
-from pagemill.session import materialize, table
+from pagemill.session import materialize, spread_table, table
 from pagemill.sources.encodings import decode
 from pagemill.sources.nodes import parse_nodes, text_of, tokenize
 
@@ -34,7 +34,7 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread_table(spark, sf_dir, "pages")
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +44,12 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The HTML contents of entries as pages."""
-    return table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.col("content").alias("html"), F.col("link").alias("url"))
+    return spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.col("content").alias("html"), F.col("link").alias("url"))
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries of entries, some of which carry HTML, as pages."""
-    return table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.col("summary").alias("html"), F.col("link").alias("url"))
+    return spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.col("summary").alias("html"), F.col("link").alias("url"))
 
 
 @_query("select_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages WHERE html LIKE '%<title>%</title>%'")
@@ -211,7 +211,7 @@ def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("linkify_documents")
 def linkify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     return linkify(docs, "text").select("doc_id", F.size("links").alias("links"), "linked")
 
 

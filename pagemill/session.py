@@ -65,3 +65,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the test tables, for kernels that cost much per row.
+
+    Where the files give fewer scan tasks than there are cores, as one small file does, the rows are dealt out over the
+    cores; larger tables keep the partitions of their scan and are not shuffled.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
