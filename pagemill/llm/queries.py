@@ -14,13 +14,13 @@ from pagemill.llm.markup import convert
 from pagemill.llm.mixing import mix
 from pagemill.llm.packing import container_fill, divided, pack
 from pagemill.llm.personal import mentions, redact
-from pagemill.session import table
+from pagemill.session import spread_table, table
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of the summaries of entries and the texts of paragraphs, with the declared language."""
-    entries = table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", "lang", F.col("summary").alias("text"))
-    paragraphs = table(spark, sf_dir, "paragraphs").select(F.lit("paragraphs").alias("table_name"), F.col("para_id").alias("row_id"), "lang", "text")
+    entries = spread_table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", "lang", F.col("summary").alias("text"))
+    paragraphs = spread_table(spark, sf_dir, "paragraphs").select(F.lit("paragraphs").alias("table_name"), F.col("para_id").alias("row_id"), "lang", "text")
     return passages(entries.union(paragraphs), "text", table(spark, sf_dir, "langsamples"), "lang")
 
 
@@ -39,7 +39,7 @@ def p1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of entries and descriptions of feeds."""
-    entries = table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", F.col("summary").alias("text"))
+    entries = spread_table(spark, sf_dir, "entries").select(F.lit("entries").alias("table_name"), "row_id", F.col("summary").alias("text"))
     feeds = table(spark, sf_dir, "feeds").select(F.lit("feeds").alias("table_name"), F.col("snap_id").alias("row_id"), F.col("description").alias("text"))
     return entries.union(feeds)
 
@@ -78,7 +78,7 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     capacity = table(spark, sf_dir, "containers").agg(F.min("capacity")).head()[0]
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity), capacity
+    return pack(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), capacity), capacity
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,15 +94,15 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixtargets"))[0]
+    return mix(spread_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixtargets"))[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixtargets"))[1]
+    return mix(spread_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixtargets"))[1]
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "namelist"))
+    return mentions(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "namelist"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
