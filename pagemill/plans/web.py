@@ -12,8 +12,11 @@ from pagemill.functions.markup import collapse_space, escape
 from pagemill.functions.urls import clean_url, registrable_domain, url_parts
 from pagemill.operators import extract
 from pagemill.operators.cleaning import linkify, render, sanitize
+from pagemill.operators.conformance import conformance, events, find
+from pagemill.operators.edit import annotated_text, normalize, rewrite, select_many
 from pagemill.operators.selectors import axis, closest, select
 from pagemill.operators.xpath import xpath
+from pagemill.operators.xslt import transform
 from pagemill.session import materialize, spread_table, table
 from pagemill.sources.encodings import decode
 from pagemill.sources.nodes import parse_nodes, text_of, tokenize
@@ -263,3 +266,56 @@ def id_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _pages(spark, sf_dir).select("page_id", F.encode("html", "utf-8").alias("content"))
     return decode(raw, "content").select("page_id", "html", "encoding")
+
+
+@_query("find_text", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>[^<]*(lantern|Laterne)[^<]*</p>')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '<p>[^<]*(lantern|Laterne)[^<]*</p>') AND html LIKE '%</html>%'")
+def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = materialize(parse_nodes(_pages(spark, sf_dir).filter("html LIKE '%</html>%'")), "nodes")
+    return find(nodes, tag="p", text="lantern|Laterne", within="body").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@_query("walk_events", "SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[^<>]*>')) AS BIGINT) AS n FROM pages WHERE html LIKE '%</html>%'")
+def walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _pages(spark, sf_dir).filter("html LIKE '%</html>%'")
+    return events(parse_nodes(whole)).filter("kind = 'start'").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@_query("conformance_messages")
+def conformance_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conformance(_nodes(spark, sf_dir))
+
+
+@_query("conformance_title", "SELECT page_id, 'missing-title' AS code FROM pages WHERE html IS NULL OR html NOT LIKE '%<title>%'")
+def conformance_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conformance(_nodes(spark, sf_dir)).filter("code = 'missing-title'").select("page_id", "code")
+
+
+@_query("select_together", "SELECT page_id, 'p' AS name, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n FROM pages WHERE html LIKE '%<p>%' UNION ALL SELECT page_id, 'heading', CAST(len(regexp_extract_all(html, '<h[1-6]>')) AS BIGINT) FROM pages WHERE regexp_matches(html, '<h[1-6]>')")
+def select_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = select_many(_pages(spark, sf_dir), {"p": "body p", "heading": ":is(h1, h2, h3, h4, h5, h6)"})
+    return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
+
+
+@_query("rewrite_pages", "SELECT row_id AS page_id, '<html><head></head><body>' || replace(replace(content, '<p>', '<div>'), '</p>', '</div>') || '</body></html>' AS rewritten FROM entries WHERE regexp_full_match(content, '(<p>[^<>&]*</p>)+') AND NOT contains(content, chr(160))")
+def rewrite_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _contents(spark, sf_dir).filter(F.col("html").rlike("^(?:<p>[^<>&]*</p>)+$") & ~F.col("html").contains("\u00a0"))
+    return rewrite(kept, [("rename", "p", "div"), ("comments",)])
+
+
+@_query("annotate_pages")
+def annotate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotated_text(_pages(spark, sf_dir), {"heading": "h1, h2", "paragraph": "p"}).select("page_id", F.length("text").alias("length"), F.size("spans").alias("spans"))
+
+
+STYLESHEET = """<xsl:stylesheet xmlns:xsl="http://www.w3.org/1999/XSL/Transform" version="1.0"><xsl:output method="text"/>
+<xsl:template match="/"><xsl:value-of select="count(//p)"/>,<xsl:value-of select="/html/@lang"/></xsl:template></xsl:stylesheet>"""
+
+
+@_query("transform_pages", "SELECT page_id, coalesce(len(regexp_extract_all(html, '<p>')), 0) || ',' || coalesce(regexp_extract(html, '<html lang=\"([^\"]*)\"', 1), '') AS result FROM pages")
+def transform_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform(_pages(spark, sf_dir), STYLESHEET).select("page_id", "result")
+
+
+@_query("normalize_titles", "SELECT row_id, nfc_normalize(title) AS title FROM entries")
+def normalize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize(table(spark, sf_dir, "entries").select("row_id", "title"), "title")
