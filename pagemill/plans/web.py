@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.identifiers import canonical_id, canonical_url
+from pagemill.functions.languages import detect_language, profiles
 from pagemill.functions.markup import collapse_space, escape
 from pagemill.functions.urls import clean_url, registrable_domain, url_parts
 from pagemill.operators import extract
@@ -15,6 +16,7 @@ from pagemill.operators.cleaning import linkify, render, sanitize
 from pagemill.operators.conformance import conformance, events, find
 from pagemill.operators.edit import annotated_text, normalize, rewrite, select_many
 from pagemill.operators.selectors import axis, closest, select
+from pagemill.operators.styles import computed_styles
 from pagemill.operators.xpath import xpath
 from pagemill.operators.xslt import transform
 from pagemill.session import materialize, spread_table, table
@@ -319,3 +321,15 @@ def transform_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("normalize_titles", "SELECT row_id, nfc_normalize(title) AS title FROM entries")
 def normalize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(table(spark, sf_dir, "entries").select("row_id", "title"), "title")
+
+
+@_query("computed_styles")
+def styles_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = computed_styles(_summaries(spark, sf_dir))
+    return found.select("page_id", "element_no", "tag", F.array_join(F.array_sort(F.transform(F.map_entries("style"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), ";").alias("style"))
+
+
+@_query("detect_languages")
+def detect_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spread_table(spark, sf_dir, "paragraphs").select("para_id", "text")
+    return detect_language(texts, "text", profiles(table(spark, sf_dir, "langsamples"))).select("para_id", "language", "confidence")

@@ -85,3 +85,36 @@ def test_xslt(spark):
     assert rows[2]["result"] is None and rows[2]["error"] and rows[3]["error"]
     with pytest.raises(StylesheetError):
         compile_stylesheet("<a/>")
+
+
+def test_computed_styles(spark):
+    from pagemill.operators.styles import computed_styles, declarations, rules
+
+    html = (
+        "<style>p{color:red;margin:1px} .x{color:blue} #i{color:green!important} @media print{p{color:black}} @media screen{b{top:1px}} bad::x{a:b} div{--c:3px;font-size:9px}</style>"
+        "<div><p class=x style='color:pink'>a</p><p id=i class=x style='color:pink'><b style='left:var(--c, 1px);margin:inherit'>b</b></p></div>"
+    )
+    rows = {r["tag"] + str(r["element_no"]): r["style"] for r in computed_styles(spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")).collect()}
+    assert rows["p6"] == {"color": "pink", "margin": "1px", "font-size": "9px", "--c": "3px"}
+    assert rows["p7"]["color"] == "green"
+    assert rows["b8"] == {"color": "green", "font-size": "9px", "--c": "3px", "left": "3px", "top": "1px", "margin": "1px"}
+    assert declarations("a:url(x;y);b:';';c") == [("a", "url(x;y)", False), ("b", "';'", False)]
+    assert rules("@import 'a'; p{x:y}") == [("p", "x:y")]
+
+
+def test_trigram_language(spark):
+    from pagemill.functions.languages import detect_language, profiles
+
+    data = [("the old ferry and the harbour office keep the lanterns", "en"), ("die alte Fähre und das Hafenamt führen die Laternen", "de"), (None, "en")]
+    known = profiles(spark.createDataFrame(data, "text string, lang string"))
+    df = spark.createDataFrame([(1, "the ferry keeps the office"), (2, "das Amt und die Fähre"), (3, "12"), (4, None)], "k int, t string")
+    assert [r["language"] for r in detect_language(df, "t", known).orderBy("k").collect()] == ["en", "de", None, None]
+
+
+def test_command_line(tmp_path, capsys):
+    from pagemill.__main__ import main
+
+    (tmp_path / "a.html").write_bytes(b"<h1>T</h1><p onclick=x>caf\xe9")
+    path = str(tmp_path / "a.html")
+    assert [main([form, path]) for form in ("markdown", "sanitized", "encoding", "nope")] == [0, 0, 0, 2]
+    assert capsys.readouterr().out == "# T\n\ncafé\n<h1>T</h1><p>café</p>\ncp1252 0.3\n"
