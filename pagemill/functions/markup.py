@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import textwrap
+from dataclasses import dataclass
+from urllib.parse import urljoin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,9 +113,22 @@ def minify(node: Node) -> str:
     return "".join(out)
 
 
-def to_text(node: Node) -> str:
+@dataclass(frozen=True)
+class PlainText:
+    """How plain text is written."""
+
+    links: str = "none"  # none, inline, footnote
+    images: bool = False  # with their alternative texts
+    cell: str = "\t"
+    bullet: str = ""
+    width: int = 0  # 0: lines are not wrapped
+
+
+def to_text(node: Node, options: PlainText | None = None) -> str:
     """The text as a reader sees it: blocks on lines of their own, cells parted by tabs, hidden elements left out."""
+    o = options or PlainText()
     out: list[str] = []
+    notes: list[str] = []
 
     def line() -> None:
         if out and out[-1] != "\n":
@@ -130,43 +146,91 @@ def to_text(node: Node) -> str:
                 if c.tag == "br":
                     out.append("\n")
                     continue
+                if c.tag == "img":
+                    if o.images and c.attrs.get("alt"):
+                        out.append(c.attrs["alt"])
+                    continue
                 if c.tag in ("td", "th"):
                     if out and out[-1] != "\n":
-                        out.append("\t")
+                        out.append(o.cell)
                     visit(c, pre)
                     continue
                 if c.tag in BLOCK:
                     line()
+                if c.tag == "li" and o.bullet:
+                    out.append(o.bullet + " ")
                 visit(c, pre or c.tag in ("pre", "textarea"))
+                if c.tag == "a" and c.attrs.get("href") and o.links != "none":
+                    notes.append(c.attrs["href"])
+                    out.append(f" ({notes[-1]})" if o.links == "inline" else f" [{len(notes)}]")
                 if c.tag in BLOCK:
                     line()
                     if c.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "ul", "ol", "table"):
                         out.append("\n")
 
     visit(node, False)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out))).strip()
+    if o.width:
+        text = "\n".join(textwrap.fill(x, o.width, break_long_words=False) for x in text.split("\n"))
+    if o.links == "footnote" and notes:
+        text += "\n\n" + "\n".join(f"[{i}] {u}" for i, u in enumerate(notes, 1))
+    return text
+
+
+@dataclass(frozen=True)
+class Markdown:
+    """How Markdown is written."""
+
+    headings: str = "atx"  # atx, atx_closed, setext
+    bullet: str = "-"
+    strong: str = "**"
+    emphasis: str = "*"
+    strikethrough: str = "keep"  # keep, hide
+    code: str = "fenced"  # fenced, indented
+    links: str = "inline"  # inline, reference, ignore
+    images: str = "markdown"  # markdown, alt, ignore
+    tables: str = "markdown"  # markdown, text
+    escaping: str = "minimal"  # minimal, none
+    line_break: str = "spaces"  # spaces, backslash
+    base_url: str = ""
+    width: int = 0  # 0: lines are not wrapped
 
 
-def to_markdown(node: Node) -> str:
+def to_markdown(node: Node, options: Markdown | None = None) -> str:
     """Markdown of the visible content: headings, lists, quotes, code, links, images, emphasis, tables."""
+    o = options or Markdown()
+    references: list[str] = []
+
+    def target(url: str) -> str:
+        return urljoin(o.base_url, url) if o.base_url else url
 
     def inline(n: Node) -> str:
         out = ""
         for c in n.children:
             if c.kind == "text":
-                out += re.sub(r"([\\`*_\[\]])", r"\\\1", re.sub(r"[ \t\n\f\r]+", " ", c.data))
+                data = re.sub(r"[ \t\n\f\r]+", " ", c.data)
+                out += data if o.escaping == "none" else re.sub(r"([\\`*_\[\]])", r"\\\1", data)
             elif c.kind == "element" and c.tag not in HIDDEN:
                 body = inline(c)
-                mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "del": "~~", "s": "~~", "strike": "~~"}.get(c.tag)
+                mark = {"b": o.strong, "strong": o.strong, "i": o.emphasis, "em": o.emphasis, "del": "~~", "s": "~~", "strike": "~~"}.get(c.tag)
                 if c.tag == "br":
-                    out += "  \n"
+                    out += "  \n" if o.line_break == "spaces" else "\\\n"
                 elif c.tag == "img":
-                    out += f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})"
-                elif c.tag == "a" and c.attrs.get("href"):
-                    out += f"[{body.strip()}]({c.attrs['href']})" if body.strip() else ""
+                    alt = c.attrs.get("alt", "")
+                    out += {"alt": alt, "ignore": ""}.get(o.images, f"![{alt}]({target(c.attrs.get('src', ''))})")
+                elif c.tag == "a" and c.attrs.get("href") and o.links != "ignore":
+                    if not body.strip():
+                        continue
+                    if o.links == "reference":
+                        references.append(target(c.attrs["href"]))
+                        out += f"[{body.strip()}][{len(references)}]"
+                    else:
+                        out += f"[{body.strip()}]({target(c.attrs['href'])})"
                 elif c.tag in ("code", "kbd", "samp", "tt"):
                     fence = "``" if "`" in c.text() else "`"
                     out += f"{fence}{c.text()}{fence}"
+                elif mark == "~~" and o.strikethrough == "hide":
+                    continue
                 elif mark and body.strip():
                     lead, trail = body[: len(body) - len(body.lstrip())], body[len(body.rstrip()) :]
                     out += f"{lead}{mark}{body.strip()}{mark}{trail}"
@@ -174,6 +238,25 @@ def to_markdown(node: Node) -> str:
                     out += body
         return out
 
+    def wrapped(text: str) -> str:
+        if not o.width:
+            return text
+        return "\n".join(textwrap.fill(x, o.width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n"))
+
+    def heading(level: int, text: str) -> str:
+        if o.headings == "setext" and level < 3:
+            return f"{text}\n{('=' if level == 1 else '-') * max(3, len(text))}"
+        return f"{'#' * level} {text}" + (f" {'#' * level}" if o.headings == "atx_closed" else "")
+
+    def table(n: Node) -> str:
+        rows = [[inline(x).strip() for x in tr.children if x.tag in ("td", "th")] for tr in n.elements() if tr.tag == "tr"]
+        rows = [r for r in rows if r]
+        if not rows or o.tables == "text":
+            return "\n".join("\t".join(r) for r in rows)
+        width = max(map(len, rows))
+        lines = ["| " + " | ".join(x.replace("|", "\\|") for x in r + [""] * (width - len(r))) + " |" for r in rows]
+        return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
+
     def blocks(n: Node) -> list[str]:
         found: list[str] = []
         run = Node("element", "span")
@@ -181,7 +264,7 @@ def to_markdown(node: Node) -> str:
         def flush() -> None:
             nonlocal run
             if text := inline(run).strip():
-                found.append(text)
+                found.append(wrapped(text))
             run = Node("element", "span")
 
         for c in n.children:
@@ -193,33 +276,30 @@ def to_markdown(node: Node) -> str:
             flush()
             if c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 if text := inline(c).strip():
-                    found.append("#" * int(c.tag[1]) + " " + text)
+                    found.append(heading(int(c.tag[1]), text))
             elif c.tag == "hr":
                 found.append("---")
             elif c.tag == "pre":
-                code = c.first("code")
-                lang = re.search(r"\b(?:language|lang)-([\w+#-]+)", (code or c).attrs.get("class", ""))
-                found.append(f"```{lang[1] if lang else ''}\n{c.text().strip(chr(10))}\n```")
+                body = c.text().strip("\n")
+                lang = re.search(r"\b(?:language|lang)-([\w+#-]+)", (c.first("code") or c).attrs.get("class", ""))
+                found.append(textwrap.indent(body, "    ") if o.code == "indented" else f"```{lang[1] if lang else ''}\n{body}\n```")
             elif c.tag == "blockquote":
                 found.append("\n".join(f"> {x}".rstrip() for x in "\n\n".join(blocks(c)).split("\n")))
             elif c.tag in ("ul", "ol", "menu", "dir"):
                 items = []
                 number = int(c.attrs["start"]) if re.fullmatch(r"\d+", c.attrs.get("start", "")) else 1
                 for li in (x for x in c.children if x.kind == "element"):
-                    mark = f"{number}. " if c.tag == "ol" else "- "
+                    mark = f"{number}. " if c.tag == "ol" else f"{o.bullet} "
                     number += 1
-                    body = "\n".join(blocks(li)).split("\n")
-                    items.append(mark + f"\n{' ' * len(mark)}".join(body))
+                    items.append(mark + f"\n{' ' * len(mark)}".join("\n".join(blocks(li)).split("\n")))
                 found.append("\n".join(items))
             elif c.tag == "table":
-                rows = [[inline(x).strip().replace("|", "\\|") for x in tr.children if x.tag in ("td", "th")] for tr in c.elements() if tr.tag == "tr"]
-                if rows := [r for r in rows if r]:
-                    width = max(map(len, rows))
-                    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-                    found.append("\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]))
+                if text := table(c):
+                    found.append(text)
             else:
                 found.extend(blocks(c))
         flush()
         return found
 
-    return "\n\n".join(blocks(node))
+    out = "\n\n".join(blocks(node))
+    return out + "".join(f"\n{chr(10) if i == 1 else ''}[{i}]: {u}" for i, u in enumerate(references, 1))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.markup import minify, serialize, to_markdown, to_text
+from pagemill.functions.markup import Markdown, PlainText, minify, serialize, to_markdown, to_text
 from pagemill.sources.nodes import per_page
 from pagemill.sources.tree import Node, parse, parse_fragment
 
@@ -83,9 +83,9 @@ def sanitize(pages: DataFrame, policy: Policy | None = None, html: str = "html",
     return per_page(pages, kernel, "page_id bigint, clean string, removed array<struct<tag:string,attribute:string>>", [pa.string(), kind], html, key=key)
 
 
-def render(pages: DataFrame, form: str, html: str = "html", key: str = "page_id") -> DataFrame:
-    """``rendered``: the page as ``text``, ``markdown``, ``html`` (serialized again) or ``minified``."""
-    how = {"text": to_text, "markdown": to_markdown, "html": serialize, "minified": minify}[form]
+def render(pages: DataFrame, form: str, html: str = "html", key: str = "page_id", options: Markdown | PlainText | None = None) -> DataFrame:
+    """``rendered``: the page as ``text``, ``markdown``, ``html`` (serialized again) or ``minified``; the first two take options."""
+    how = {"text": lambda n: to_text(n, options), "markdown": lambda n: to_markdown(n, options), "html": serialize, "minified": minify}[form]
     return per_page(pages, lambda h: [(how(parse(h)),)], "page_id bigint, rendered string", [pa.string()], html, key=key)
 
 

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagemill.functions.markup import serialize, to_markdown, to_text
+from pagemill.functions.markup import Markdown, PlainText, serialize, to_markdown, to_text
 from pagemill.sources.tokens import Tokenizer, unescape_attribute
 from pagemill.sources.tree import parse, parse_fragment
 
@@ -80,3 +80,12 @@ def test_markdown_and_text():
     page = parse("<h1>T</h1><p>a <b>b</b> <a href='u'>c</a></p><ul><li>x<li>y</ul><pre><code class='language-py'>1\n2</code></pre><table><tr><th>h<th>k<tr><td>1<td>2</table>")
     assert to_markdown(page) == "# T\n\na **b** [c](u)\n\n- x\n- y\n\n```py\n1\n2\n```\n\n| h | k |\n| --- | --- |\n| 1 | 2 |"
     assert to_text(parse("<p>a  b<br>c</p><script>x</script><p>d")) == "a b\nc\n\nd"
+
+
+def test_rendering_options():
+    page = parse("<h1>T</h1><p>a <b>b</b> <del>x</del><a href='u'>c</a><br>d <img src=i alt=pic></p><ul><li>x</ul><pre>1</pre><table><tr><td>1<td>2</table>")
+    options = Markdown(headings="setext", bullet="*", strong="__", strikethrough="hide", code="indented", links="reference", images="alt", tables="text", line_break="backslash", base_url="http://a.example/")
+    assert to_markdown(page, options) == "T\n===\n\na __b__ [c][1]\\\nd pic\n\n* x\n\n    1\n\n1\t2\n\n[1]: http://a.example/u"
+    assert to_markdown(parse("<h2>T</h2><p>" + "word " * 6), Markdown(headings="atx_closed", width=12)) == "## T ##\n\nword word\nword word\nword word"
+    text = to_text(parse("<p>a <a href=u>l</a> <img alt=pic><ul><li>x</ul><table><tr><td>1<td>2</table>"), PlainText(links="footnote", images=True, cell=" | ", bullet="-"))
+    assert text == "a l [1] pic\n\n- x\n\n1 | 2\n\n[1] u"
