@@ -34,7 +34,6 @@ _TOKEN = re.compile(r"</?[a-z]+>|\w+|[^\w\s]")
 _NUMBER = re.compile(r"[(+]?[0-9OQ][0-9OQA-Z]*(?:[ \t\r\n]{0,2}[-./()]{0,2}[ \t\r\n]?(?:[0-9][0-9O]*|O[0-9]+|(?<=[0-9O] )[A-Z](?![\w])|(?<=-)[A-Z](?!\w))[A-Z]?(?![a-z]))*")
 _ADDRESS = re.compile(r"(?<!\S)(?:</?[a-z]+>)?([^\s<>@＠]+[@＠][^\s<>@＠]+\.[^\s<>@＠]+)")
 _FRAME = re.compile(r"﻿?\s*[0-9]*\s*|[^\n]*-->[^\n]*|(?:WEBVTT|NOTE|STYLE|REGION)\b[^\n]*")
-_GATE = re.compile(r"(?:[0-9O][^0-9]{0,3}){2}[0-9]|[0-9]{2}|@|＠|\b(?:at|dot|AT|DOT)\b|[\[(](?:at|AT)[\])]|[^\W\d_]\. [^\W\d_]{2}|^\W*(?:[A-ZÀ-ÞĄ-ŻА-Я][\w’'-]+[\s,]+){1,3}[A-ZÀ-ÞĄ-ŻА-Я][\w’'-]+\W*$|[Bb]ox|Post|[Aa]part")
 # Particles of family names, and titles before names.
 PARTICLES = frozenset("von van de del della di da do dos das la le los las du des der den".split())
 TITLES = frozenset("dr mr mrs ms miss sir herr frau m mme mlle monsieur madame don doña señor señora sr sra dona senhor senhora signor signora sig pan pani panią pana господин госпожа prof".split())
@@ -126,17 +125,26 @@ class Tagger:
         self.words: dict[str, int] = {EDGE: 0}
         self.kinds: list[str] = ["^"]
         self.emission = self._rows(EDGE, "^")[:, None]
-        self.extra: dict[str, np.ndarray] = {}
+        self.windows: dict[tuple[str, ...], int] = {}
+        self.sequence = np.zeros((0, len(LABELS)))
 
     def _rows(self, word: str, kind: str) -> np.ndarray:
         return np.stack([self.weights[word_features(word, kind, o)].sum(axis=0) for o in OFFSETS])
 
-    def _other(self, key: str) -> np.ndarray:
-        if (row := self.extra.get(key)) is None:
-            if len(self.extra) > KEPT:
-                self.extra.clear()
-            row = self.extra[key] = self.weights[_hash(key)]
-        return row
+    def _sequences(self, read: list[tuple[list[str], list[str]]]) -> np.ndarray:
+        """Scores from the classes around each token and its number; equal windows are summed once."""
+        if len(self.windows) > KEPT:
+            self.windows, self.sequence = {}, self.sequence[:0]
+        windows, which, new = self.windows, [], []
+        for kinds, numbers in read:
+            for window in _windows(kinds, numbers):
+                if (k := windows.get(window)) is None:
+                    k = windows[window] = len(windows)
+                    new.append(self.weights[[_hash(x) for x in window_features(*window)]].sum(axis=0))
+                which.append(k)
+        if new:
+            self.sequence = np.concatenate([self.sequence, np.stack(new)])
+        return self.sequence[which]
 
     def _learn(self, words: set[str]) -> None:
         if len(self.words) > KEPT:
@@ -161,14 +169,9 @@ class Tagger:
         inner = np.arange(3, len(row) - 3)
         scores = np.zeros((len(row), len(LABELS)))
         scores[3:-3] = sum(self.emission[j, row[inner + o]] for j, o in enumerate(OFFSETS))
-        kinds, at, keys = self.kinds, [], []
-        for begin, (tokens, numbers) in zip(begins, read, strict=True):
-            for i, found in enumerate(sequence_features([kinds[k] for k in ids[begin : begin + len(tokens)]], numbers), begin):
-                at += [i] * len(found)
-                keys += found
-        extra = np.stack([self._other(k) for k in keys])
-        starts = np.flatnonzero(np.diff(np.array(at), prepend=-1))
-        scores[np.array(at)[starts]] += np.add.reduceat(extra, starts, axis=0)
+        kinds = self.kinds
+        at = np.concatenate([np.arange(b, b + len(tokens)) for b, (tokens, _) in zip(begins, read, strict=True)])
+        scores[at] += self._sequences([([kinds[k] for k in ids[b : b + len(tokens)]], numbers) for b, (tokens, numbers) in zip(begins, read, strict=True)])
         return [scores[b : b + len(tokens)] for b, (tokens, _) in zip(begins, read, strict=True)]
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -185,14 +188,17 @@ class Tagger:
         return found
 
 
-def sequence_features(kinds: list[str], numbers: list[str]) -> Iterator[list[str]]:
+def _windows(kinds: list[str], numbers: list[str]) -> Iterator[tuple[str, ...]]:
+    """The classes of five tokens around each token, and its number."""
     p = ["^", "^", *kinds, "$", "$"]
-    for i in range(len(kinds)):
-        a, b, c, d, e = p[i : i + 5]
-        keys = [f"t{b}{c}{d}", f"l{a}{b}{c}", f"r{c}{d}{e}", f"q{a}{b}{c}{d}{e}"]
-        if numbers[i]:
-            keys += [f"n{numbers[i]}", f"nb{b}{numbers[i]}", f"nl{re.sub('[^9]', '', numbers[i])}{numbers[i][0]}"]
-        yield keys
+    return zip(p, p[1:], p[2:], p[3:], p[4:], numbers, strict=False)
+
+
+def window_features(a: str, b: str, c: str, d: str, e: str, number: str) -> list[str]:
+    keys = [f"t{b}{c}{d}", f"l{a}{b}{c}", f"r{c}{d}{e}", f"q{a}{b}{c}{d}{e}"]
+    if number:
+        keys += [f"n{number}", f"nb{b}{number}", f"nl{re.sub('[^9]', '', number)}{number[0]}"]
+    return keys
 
 
 def viterbi(emitted: list[np.ndarray], transitions: np.ndarray) -> list[np.ndarray]:
@@ -235,9 +241,18 @@ def _spans(path: np.ndarray, tokens: list[str], starts: list[int]) -> list[tuple
 _MAILBOX = re.compile(r"\S\s*(?:[@＠]|\s[\[(]?(?:at|AT)[\])]?\s)\s*\S+?\s*(?:\.|\b(?:dot|DOT)\b)\s*\w")
 _BEFORE = re.compile(r"[\w.+-]*\Z")
 _TURN = re.compile(r"[\s.]*\n\s*[-–—]")
+_CASED = r"[^\W\d_]+(?:[’'-][^\W\d_]+)*"
+_UNLISTED = re.compile(rf"{_CASED}(?:,?\s+(?:[^\W\d_]\.|{_CASED})){{1,5}}")
 _BEFORE_NAME = re.compile(r"[^\s\[\](){}<>\"“”„«».,:;!?*♪/—-]*\Z")
 
 
+def unlisted_name(body: str) -> bool:
+    """Whether words of no list are spelled as a name: two or more in title case, initials and particles between."""
+    words = [w for w in re.findall(_CASED, body) if len(w) > 1 and w.lower() not in PARTICLES | TITLES]
+    cased = lambda w: all(p[:1].isupper() and p[1:] == p[1:].lower() for p in re.split("[’'-]", w))
+    return len(words) >= 2 and bool(_UNLISTED.fullmatch(body)) and all(map(cased, words))
+
+
 def checked(text: str, spans: list[tuple[int, int, str]], lexicon: Lexicon) -> list[tuple[int, int, str]]:
     """Spans moved to the borders of what they mean, without those that cannot be what they are called."""
     kept = []
@@ -259,7 +274,8 @@ def checked(text: str, spans: list[tuple[int, int, str]], lexicon: Lexicon) -> l
         digits = sum("0" <= c <= "9" for c in body) + len(re.findall(r"(?<=\d)O|O(?=\d)", body))
         if kind == "name":
             kinds = {lexicon.kind(w) for w in re.findall(r"[^\W\d_]+", body) if len(w) > 1} - {"P", "T"}
-            fits = bool(kinds & {"G", "F", "B"}) and kinds not in ({"G"}, {"F"}) and len(re.findall(r"[^\W\d_]{2,}", body)) >= 2
+            listed = bool(kinds & {"G", "F", "B"})
+            fits = kinds not in ({"G"}, {"F"}) and len(re.findall(r"[^\W\d_]{2,}", body)) >= 2 if listed else unlisted_name(body)
         else:
             fits = {
                 "email": bool(_MAILBOX.search(body)),
@@ -291,7 +307,7 @@ def train(lexicon: Lexicon, table: Table, epochs: int = 8, rate: float = 0.35, d
         kinds = ["C" if k in "GFB" and t[0].isupper() and not t.isupper() and rng.random() < 0.12 else k for k, t in zip(kinds, tokens, strict=True)]
         padded = [(EDGE, "^")] * 3 + list(zip(tokens, kinds, strict=True)) + [(EDGE, "^")] * 3
         ids = []
-        for i, keys in enumerate(sequence_features(kinds, numbers)):
+        for i, keys in enumerate(window_features(*w) for w in _windows(kinds, numbers)):
             row = [h for o in OFFSETS for h in word_features(*padded[i + 3 + o], o)]
             ids.append(np.array(row + [_hash(k) for k in keys]))
         data.append((ids, gold))
@@ -409,11 +425,6 @@ def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, known = Tagger(lexicon, weights, transitions), {}
-        words = lexicon.given | lexicon.family
-
-        def suspect(block: str) -> bool:
-            return bool(_GATE.search(block)) or not words.isdisjoint(re.findall(r"\w+", block.lower()))
-
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -423,9 +434,7 @@ def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
                 if len(known) > KEPT:
                     known.clear()
                 new = list(dict.fromkeys(b for bs in split for _, b in bs if b not in known))
-                open_ = [b for b in new if suspect(b)]
-                known |= dict.fromkeys(new, ())
-                known |= dict(zip(open_, tagger.spans(open_), strict=True))
+                known |= dict(zip(new, tagger.spans(new), strict=True))
                 found = [[{"start": s + a, "end": s + e, "type": k} for s, b in bs for a, e, k in known[b]] for bs in split]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=["doc_id", "text", "found"])
 

@@ -145,3 +145,19 @@ def test_mentions_and_redaction(spark):
     assert got == {(1, "phone", "+44 20 7946 0541"), (1, "name", "Marlowe Tindrake"), (2, "email", "a.b@kontor.example")}
     texts = {r["doc_id"]: r["redacted"] for r in redact(found).collect()}
     assert "Call me on [PHONE]\nbefore" in texts[1] and "[NAME]." in texts[1] and texts[3] is None and texts[5] == docs[4][1]
+
+
+def test_every_block_is_decoded(spark):
+    lines = ["Deliver it to 6B Old Elmfield Street.", "She lives at 4 Kingsmead Road now.", "Она теперь живёт здесь: ул.\nМельничная, д. 5, кв. 4.", "My name is Zoltan Kovacs."]
+    docs = [(i, f"1\n00:00:01,000 --> 00:00:02,000\n{x}\n") for i, x in enumerate(lines)]
+    found = mentions(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(NAMES, "name string, kind string"))
+    got = {(r["doc_id"], m["type"], dict(docs)[r["doc_id"]][m["start"] : m["end"]]) for r in found.collect() for m in r["found"]}
+    assert got == {(0, "address", "6B Old Elmfield Street"), (1, "address", "4 Kingsmead Road"), (2, "address", "ул.\nМельничная, д. 5, кв. 4"), (3, "name", "Zoltan Kovacs")}
+
+
+def test_names_of_no_list():
+    lexicon = Lexicon.of(["Ann"], ["Vale"])
+    for body in ("Zoltan Kovacs", "Zoltan K. Kovacs", "Kovacs, Zoltan", "Zoltan von Kovacs", "Zoltan O’Kovacs-Lund"):
+        assert checked(body, [(0, len(body), "name")], lexicon) == [(0, len(body), "name")]
+    for body in ("old ferry", "Zoltan", "Ann, Ann", "Mr. Kovacs", "ХТПЦБК СВМПЛ", "Ð½Ð°Ñ Ð½Ð"):
+        assert checked(body, [(0, len(body), "name")], lexicon) == []
