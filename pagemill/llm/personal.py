@@ -33,7 +33,9 @@ KEPT = 200_000
 _TOKEN = re.compile(r"</?[a-z]+>|\w+|[^\w\s]")
 _NUMBER = re.compile(r"[(+]?[0-9OQ][0-9OQA-Z]*(?:[ \t\r\n]{0,2}[-./()]{0,2}[ \t\r\n]?(?:[0-9][0-9O]*|O[0-9]+|(?<=[0-9O] )[A-Z](?![\w])|(?<=-)[A-Z](?!\w))[A-Z]?(?![a-z]))*")
 _ADDRESS = re.compile(r"(?<!\S)(?:</?[a-z]+>)?([^\s<>@＠]+[@＠][^\s<>@＠]+\.[^\s<>@＠]+)")
-_FRAME = re.compile(r"﻿?\s*[0-9]*\s*|[^\n]*-->[^\n]*|(?:WEBVTT|NOTE|STYLE|REGION)\b[^\n]*")
+_FRAME = re.compile(r"﻿?\s*|[^\n]*-->[^\n]*")
+_CUE = re.compile(r"﻿?\s*[0-9]+\s*")
+_HEAD = re.compile(r"﻿?(?:WEBVTT|NOTE|STYLE|REGION)\s*")
 # Particles of family names, and titles before names.
 PARTICLES = frozenset("von van de del della di da do dos das la le los las du des der den".split())
 TITLES = frozenset("dr mr mrs ms miss sir herr frau m mme mlle monsieur madame don doña señor señora sr sra dona senhor senhora signor signora sig pan pani panią pana господин госпожа prof".split())
@@ -367,12 +369,17 @@ def _gradient(emitted: np.ndarray, golds: list[np.ndarray], transitions: np.ndar
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """The blocks of lines of speech, with where they begin: cue numbers, times and blank lines part them."""
+    """The blocks of lines of speech, with where they begin: cue numbers, times and blank lines part them.
+
+    A line of digits is a cue number only before a line with times. Of a WebVTT file, the words that open its blocks are left
+    out where they stand alone; titles and comments are read like speech.
+    """
     begin = end = -1
     at = 0
-    for line in text.splitlines(keepends=True):
+    lines = text.splitlines(keepends=True)
+    for line, after in zip(lines, [*lines, ""][1:], strict=True):
         bare = line.rstrip("\r\n")
-        if _FRAME.fullmatch(bare):
+        if _FRAME.fullmatch(bare) or ("-->" in after and _CUE.fullmatch(bare)) or (begin < 0 and _HEAD.fullmatch(bare)):
             if begin >= 0:
                 yield begin, text[begin:end]
             begin = -1

@@ -161,3 +161,16 @@ def test_names_of_no_list():
         assert checked(body, [(0, len(body), "name")], lexicon) == [(0, len(body), "name")]
     for body in ("old ferry", "Zoltan", "Ann, Ann", "Mr. Kovacs", "ХТПЦБК СВМПЛ", "Ð½Ð°Ñ Ð½Ð"):
         assert checked(body, [(0, len(body), "name")], lexicon) == []
+
+
+def test_digits_alone_are_speech():
+    cue = "00:00:01,000 --> 00:00:02,000"
+    assert [b for _, b in blocks(f"1\n{cue}\n219379991631041\n\n2\n{cue}\nCall\n02079460541\nnow\n3\n{cue}\n07700900123")] == ["219379991631041", "Call\n02079460541\nnow", "07700900123"]
+    assert [b for _, b in blocks(f"WEBVTT\n\nNOTE\nby Ann Vale\n\n{cue}\nNOTE it: 02079460541\nSTYLE\n")] == ["by Ann Vale", "NOTE it: 02079460541\nSTYLE"]
+    assert list(blocks("")) == []
+
+
+def test_number_alone_on_its_line(tagger):
+    text = "1\n00:00:01,000 --> 00:00:02,000\n219379991631041\n\n2\n00:00:03,000 --> 00:00:04,000\nNo.\n"
+    (begin, block), _ = blocks(text)
+    assert [(text[begin + a : begin + b], k) for a, b, k in tagger.spans([block])[0]] == [("219379991631041", "id_number")]
