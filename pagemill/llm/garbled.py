@@ -8,7 +8,11 @@
    change between single-byte encodings counts only if it turns a rare token into one that the corpus knows well.
 4. Tokens with lost characters (the replacement sign) take the best-known token with the same ASCII skeleton.
 
-Everything is counted over all rows with distributed aggregations and joins; only one row per transformation reaches the
+5. A sentence as a whole: the gains of its tokens under one learned transformation are added up, so several words that the
+   corpus hardly knows count together, and words it does not know at all go along with the others.
+
+Counts are of distinct texts. Copies of a text speak for a spelling as right ``RATIO`` times at most, and never for the
+spelling that is to be repaired. They are made with distributed aggregations and joins; only one row per transformation reaches the
 driver.
 """
 
@@ -31,6 +35,8 @@ BYTES_OF = ("utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-2
 VOTES = 3
 #: A repaired token must be this frequent, and this many times as frequent as the token as it stands.
 KNOWN, RATIO = 3, 4
+#: A sentence is repaired if the logarithms of its tokens' ratios add up to this; HALF is added to both counts.
+SCORE, HALF = 2.0, 0.5
 
 _OTHER = r"[^\x00-\x7F]"
 _EDGES = "“”„‟‘’‚«»‹›\"'()[]{}<>.,;:!?…—–-*/"
@@ -133,31 +139,45 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\r\n]+"), lambda t: t != "")
 
 
+def sentences_of(text: Column) -> Column:
+    return F.split(text, r"(?<=[.!?…]) +|[\r\n]+")
+
+
+def distinct_texts(values: DataFrame) -> DataFrame:
+    """``text`` once each, with ``copies``, ``RATIO`` at most."""
+    return values.filter("text IS NOT NULL").groupBy("text").agg(F.least(F.count("*"), F.lit(RATIO)).alias("copies"))
+
+
 def near_twins(values: DataFrame) -> DataFrame:
     """Pairs ``garbled``, ``clean``, ``n`` of sentences that differ only in non-ASCII characters.
 
-    The spelling that occurs most often stands for the group (ties: the smallest), so a group of any size gives one row
+    The spelling that occurs in most distinct texts (then: most often, copies limited) stands for the group (ties: the smallest), so a group of any size gives one row
     for each other spelling. Sentences in which fewer than three ASCII letters or digits are left are grouped by the
     lengths of their words instead, which a change between single-byte encodings keeps; they need four words.
     """
-    sentence = F.explode(F.split(F.col("text"), r"(?<=[.!?…]) +|[\r\n]+")).alias("sentence")
+    return _twins(distinct_texts(values))
+
+
+def _twins(texts: DataFrame) -> DataFrame:
+    sentence = F.explode(F.array_distinct(sentences_of(F.col("text")))).alias("sentence")
     stripped = F.regexp_replace("sentence", _OTHER, "")
     letters = F.length(F.regexp_replace(stripped, "[^A-Za-z0-9]", ""))
     spelled = (
-        values.select(sentence)
+        texts.filter(F.col("text").rlike(_OTHER))
+        .select(sentence, "copies")
         .filter(F.col("sentence").rlike(_OTHER) & ~F.col("sentence").contains("�"))
         .groupBy("sentence")
-        .agg(F.count("*").alias("n"))
+        .agg(F.struct(F.count("*").alias("texts"), F.sum("copies").alias("copies")).alias("n"))
         .withColumn("skeleton", F.when(letters >= 3, stripped).when(F.col("sentence").rlike("(?: [^ ]+){3}"), F.regexp_replace("sentence", _OTHER, "x")))
         .filter("skeleton IS NOT NULL")
     )
     spelled = materialize(spelled, "spelled")
     best = spelled.groupBy("skeleton").agg(F.max_by("sentence", F.struct(F.col("n"), F.col("sentence"))).alias("clean"), F.max("n").alias("most"), F.count("*").alias("spellings"))
     pairs = spelled.join(best.filter("spellings > 1"), "skeleton")
-    return pairs.filter("sentence <> clean AND most > n").select(F.col("sentence").alias("garbled"), "clean", "n")
+    return pairs.filter("sentence <> clean AND most > n").select(F.col("sentence").alias("garbled"), "clean", F.col("n.texts").alias("n"))
 
 
-def learn(values: DataFrame) -> dict[tuple[str, str], int]:
+def learn(texts: DataFrame) -> dict[tuple[str, str], int]:
     """Transformations and how many aligned characters of twin pairs speak for each; one row per transformation is collected."""
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,22 +193,25 @@ def learn(values: DataFrame) -> dict[tuple[str, str], int]:
                 found += [(*chain, letters) for chain in chains if runs and all(_explains(c, g, chain) for c, g in runs)]
             yield pd.DataFrame(found, columns=["read_as", "bytes_of", "votes"])
 
-    rows = near_twins(values).mapInPandas(votes, "read_as string, bytes_of string, votes bigint")
+    rows = _twins(texts).mapInPandas(votes, "read_as string, bytes_of string, votes bigint")
     return {(r["read_as"], r["bytes_of"]): r["n"] for r in rows.groupBy("read_as", "bytes_of").agg(F.sum("votes").alias("n")).collect()}
 
 
-def token_repairs(values: DataFrame) -> DataFrame:
-    """``token``, ``fixed``, ``read_as``, ``bytes_of`` for every token that a wrong decoding has damaged.
+def token_repairs(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``token``, ``fixed``, ``read_as``, ``bytes_of`` for every token that a wrong decoding has damaged wherever it stands;
+    and ``sentence`` (a hash), ``token``, ``fixed`` for those that only the sentence around them shows to be damaged.
 
     ``fixed`` is null if the original can't be recovered.
     """
-    learned = learn(values)
-    single = [c for c, n in learned.items() if n >= VOTES and c[1] != "utf-8"]
+    texts = materialize(distinct_texts(values), "texts")
+    learned = learn(texts)
+    # Of a change and its reverse, which a much copied garbled text speaks for, the one with more votes holds.
+    single = [c for c, n in learned.items() if n >= VOTES and c[1] != "utf-8" and n >= learned.get((c[1], c[0]), 0)]
     # UTF-8 proves itself; the reading that most twins speak for is tried first.
     multiple = sorted(READ_AS, key=lambda r: -learned.get((r, "utf-8"), 0))
-    every = values.select(F.explode(tokens_of(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    every = texts.select(F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("token"), "copies").groupBy("token").agg(F.count("*").alias("texts"), F.sum("copies").alias("n"))
     every = materialize(every, "tokens")
-    cores = materialize(every.withColumn("core", core(F.col("token"))).groupBy("core").agg(F.sum("n").alias("n")), "cores")
+    cores = materialize(every.withColumn("core", core(F.col("token"))).groupBy("core").agg(F.sum("texts").alias("texts"), F.sum("n").alias("n")), "cores")
 
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -220,19 +243,22 @@ def token_repairs(values: DataFrame) -> DataFrame:
     proposed = materialize(every.filter(F.col("token").rlike(_OTHER)).select("token").mapInPandas(propose, schema), "proposed")
     sure = proposed.filter("sure").drop("sure")
     known = cores.select(F.col("core").alias("fixed_core"), F.col("n").alias("fixed_n"))
-    as_is = cores.select(F.col("core").alias("own_core"), F.col("n").alias("own_n"))
-    likely = (
+    as_is = cores.select(F.col("core").alias("own_core"), F.col("texts").alias("own_n"))
+    weighed = (
         proposed.filter("NOT sure")
         .withColumn("fixed_core", core(_longest(F.col("fixed"))))
         .withColumn("own_core", core(F.col("token")))
         .filter("fixed_core <> own_core")
         .filter(F.col("token").rlike(r"\p{L}") | ~F.col("fixed").rlike(r"\p{L}"))
         .filter(~F.col("fixed").contains("\u00a0") | (F.length("fixed_core") * 2 >= F.length("token")) & (F.length("fixed_core") >= 2))
-        .join(known, "fixed_core")
+        .join(known, "fixed_core", "left")
         .join(as_is, "own_core")
-        .filter((F.col("fixed_n") >= KNOWN) & (F.col("fixed_n") >= RATIO * F.col("own_n")))
+    )
+    weighed = materialize(weighed.fillna(0, ["fixed_n"]), "weighed")
+    likely = (
+        weighed.filter((F.col("fixed_n") >= KNOWN) & (F.col("fixed_n") >= RATIO * F.col("own_n")))
         .groupBy("token")
-        .agg(F.max_by(F.struct("fixed", "read_as", "bytes_of"), F.struct("fixed_n", "read_as", "bytes_of")).alias("b"))
+        .agg(F.max_by(F.struct("fixed", "read_as", "bytes_of", F.col("fixed_n").alias("n")), F.struct("fixed_n", "read_as", "bytes_of")).alias("b"))
         .select("token", "b.*")
     )
     skeleton = F.regexp_replace(F.lower(F.col("token")), _OTHER, "")
@@ -241,7 +267,32 @@ def token_repairs(values: DataFrame) -> DataFrame:
     whole = every.filter(F.col("token").rlike(_OTHER)).join(broken, "token", "left_anti").withColumn("skeleton", skeleton)
     twin = whole.filter(F.length("skeleton") >= 3).groupBy("skeleton").agg(F.max_by("token", F.struct("n", "token")).alias("twin"))
     recovered = lost.join(twin, "skeleton", "left").select("token", F.col("twin").alias("fixed"), F.lit(None).cast("string").alias("read_as"), F.lit(None).cast("string").alias("bytes_of"))
-    return materialize(sure.filter("fixed IS NOT NULL").unionByName(likely).unionByName(recovered), "repairs")
+    tokens = materialize(sure.filter("fixed IS NOT NULL").unionByName(recovered).withColumn("n", F.lit(None).cast("bigint")).unionByName(likely), "repairs")
+    return tokens, _sentence_repairs(texts, weighed)
+
+
+def _sentence_repairs(texts: DataFrame, weighed: DataFrame) -> DataFrame:
+    # The sentence itself does not speak for its own spelling, nor do the copies of its text.
+    gain = F.log((F.col("fixed_n") + HALF) / (F.greatest(F.col("own_n") - 1, F.lit(0)) + HALF))
+    scored = weighed.select("token", "fixed", F.col("fixed_n").alias("n"), "read_as", "bytes_of", gain.alias("gain"), F.char_length(F.regexp_replace("fixed_core", r"[^\p{L}]", "")).alias("letters"))
+    telling = scored.filter("gain > 0 AND letters > 1").select("token").distinct()
+    sentences = texts.filter(F.col("text").rlike(_OTHER)).select(F.explode(sentences_of(F.col("text"))).alias("words")).filter(F.col("words").rlike(_OTHER))
+    parts = sentences.select(F.xxhash64("words").alias("sentence"), F.filter(tokens_of(F.col("words")), lambda t: t.rlike(_OTHER)).alias("tokens"))
+    hit = parts.select("sentence", F.explode("tokens").alias("token")).join(telling, "token", "left_semi").select("sentence").distinct()
+    words = parts.join(hit, "sentence", "left_semi").select("sentence", F.explode("tokens").alias("token")).distinct()
+    by_chain = words.join(scored, "token").groupBy("sentence", "read_as", "bytes_of").agg(F.sum("gain").alias("score"), F.collect_list(F.struct("token", "fixed", "n")).alias("fixes"))
+    best = by_chain.filter(F.col("score") >= SCORE).groupBy("sentence").agg(F.max_by("fixes", F.struct("score", "read_as", "bytes_of")).alias("fixes"))
+    return materialize(best.select("sentence", F.explode("fixes").alias("f")).select("sentence", "f.token", "f.fixed", "f.n"), "sentences")
+
+
+def _hits(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``token`` and ``fixed`` for every damaged token of each value; ``n`` (null: certain) and ``around`` tell which of two to take."""
+    tokens, sentences = token_repairs(values)
+    other = values.filter(F.col("text").rlike(_OTHER))
+    each = other.select(*keys, F.explode(F.array_distinct(F.filter(tokens_of(F.col("text")), lambda t: t.rlike(_OTHER)))).alias("token"))
+    around = other.select(*keys, F.explode(F.transform(sentences_of(F.col("text")), lambda x: F.xxhash64(x))).alias("sentence"))
+    alone = each.join(tokens.select("token", "fixed", "n"), "token").select(*keys, "token", "fixed", F.coalesce("n", F.lit(1 << 62)).alias("n"), F.lit(False).alias("around"))
+    return alone.unionByName(around.join(sentences, "sentence").select(*keys, "token", "fixed", "n", F.lit(True).alias("around")))
 
 
 def repair(values: DataFrame) -> DataFrame:
@@ -250,14 +301,10 @@ def repair(values: DataFrame) -> DataFrame:
     ``repaired`` has every damaged token replaced by its original; it is null if a token can't be recovered. Null and
     empty texts are never damaged. Repeated rows come back once each time. Other columns are ignored.
     """
-    fixes = token_repairs(values)
     keys = ["table_name", "row_id", "field"]
-    hit = (
-        values.filter(F.col("text").rlike(_OTHER))
-        .select(*keys, F.explode(F.array_distinct(F.filter(tokens_of(F.col("text")), lambda t: t.rlike(_OTHER)))).alias("token"))
-        .join(fixes.select("token", "fixed"), "token")
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("fixed", F.lit(""))))).alias("fixes"), F.bool_and(F.col("fixed").isNotNull()).alias("whole"))
+    one = _hits(values, keys).groupBy(*keys, "token").agg(F.max_by("fixed", F.struct("n", "around")).alias("fixed"))
+    hit = one.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("fixed", F.lit(""))))).alias("fixes"), F.bool_and(F.col("fixed").isNotNull()).alias("whole")
     )
     parts = F.split("text", r"(?<=[ \t\r\n])|(?=[ \t\r\n])")
     fixed = F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(F.col("fixes"), t), t)), "")
@@ -266,12 +313,5 @@ def repair(values: DataFrame) -> DataFrame:
 
 def damaged(values: DataFrame) -> DataFrame:
     """Keys of the damaged values, distinct."""
-    fixes = token_repairs(values)
     keys = ["table_name", "row_id", "field"]
-    return (
-        values.filter(F.col("text").rlike(_OTHER))
-        .select(*keys, F.explode(F.array_distinct(F.filter(tokens_of(F.col("text")), lambda t: t.rlike(_OTHER)))).alias("token"))
-        .join(fixes.select("token"), "token", "left_semi")
-        .select(*keys)
-        .distinct()
-    )
+    return _hits(values, keys).select(*keys).distinct()

@@ -81,6 +81,25 @@ def test_garbled_values(spark):
     assert [fixed[k] for k in sorted(bad)] == originals
 
 
+def test_copies_do_not_outvote(spark):
+    right = ["Старый паром продаёт тёплый хлеб до рассвета.", "Портовая контора ведёт список пропавших фонарей.", "Здесь много лет никого не было и идёт дождь."]
+    known = [f"{t} {i}" for i in range(4) for t in right]
+    spoil = lambda t: t.encode("cp1251").decode("latin-1")
+    hot, rare = spoil("Старый паром ведёт список фонарей."), spoil("Тёплый дождь Квазимодовки.")
+    texts = [*known, *known, *map(spoil, right), *[hot] * 300, rare]
+    found = {r["row_id"]: r["repaired"] for r in repair(values(spark, texts)).collect()}
+    first = 2 * len(known)
+    assert set(found) == set(range(first, len(texts)))
+    assert found[first + 3] == "Старый паром ведёт список фонарей." and found[len(texts) - 1] == "Тёплый дождь Квазимодовки."
+
+
+def test_words_hardly_known(spark):
+    right = [f"{t} {i}" for i in range(4) for t in ("Старый паром продаёт тёплый хлеб до рассвета.", "Портовая контора ведёт список пропавших фонарей.")]
+    garbled = [right[0].encode("cp1251").decode("latin-1"), right[1].encode("cp1251").decode("latin-1"), "Ёлочный базар".encode("cp1251").decode("latin-1")]
+    found = {r["row_id"]: r["repaired"] for r in repair(values(spark, [*right, "Вот ёлочный базар.", *garbled])).collect()}
+    assert found == {9: right[0], 10: right[1], 11: "Ёлочный базар"}
+
+
 def test_garbled_nothing(spark):
     assert damaged(values(spark, [])).count() == 0
     assert damaged(values(spark, [None, "", "x"])).count() == 0
