@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -333,3 +334,39 @@ def styles_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spread_table(spark, sf_dir, "paragraphs").select("para_id", "text")
     return detect_language(texts, "text", profiles(table(spark, sf_dir, "langsamples"))).select("para_id", "language", "confidence")
+
+
+def _every(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The operator over all pages, contents and summaries, with their ``source``."""
+    sources = {"pages": _pages, "contents": _contents, "summaries": _summaries}
+    return reduce(DataFrame.unionByName, [operator(rows(spark, sf_dir)).withColumn("source", F.lit(name)) for name, rows in sources.items()])
+
+
+# The queries above of like names keep to the rows that their SQL can follow; these have all rows and no SQL.
+@_query("sanitize_every")
+def sanitize_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir, lambda rows: sanitize(rows).select("page_id", "clean"))
+
+
+@_query("rewrite_every")
+def rewrite_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir, lambda rows: rewrite(rows, [("rename", "p", "div"), ("comments",)]))
+
+
+@_query("markdown_every")
+def markdown_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir, lambda rows: render(rows, "markdown"))
+
+
+@_query("xpath_longest_every")
+def xpath_longest_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir, lambda rows: xpath(rows, "//p").groupBy("page_id").agg(F.max(F.length("value")).cast("string").alias("value")))
+
+
+@_query("feed_entries_every")
+def feed_entries_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of any kind through feed documents; a null title is an item without one."""
+    title = F.coalesce(F.concat(F.lit("<title>"), escape(F.col("title")), F.lit("</title>")), F.lit(""))
+    item = F.concat(F.lit("<rss version='2.0'><channel><title>t</title><item>"), title, F.lit("</item></channel></rss>"))
+    rows = table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), item.alias("xml"))
+    return extract.feed(rows).select("page_id", "title")
