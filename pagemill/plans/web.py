@@ -370,3 +370,14 @@ def feed_entries_every(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit("<rss version='2.0'><channel><title>t</title><item>"), title, F.lit("</item></channel></rss>"))
     rows = table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), item.alias("xml"))
     return extract.feed(rows).select("page_id", "title")
+
+
+@_query("find_text_every")
+def find_text_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(_nodes(spark, sf_dir), tag="p", text="lantern|Laterne", within="body").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@_query("walk_events_every")
+def walk_events_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and unfinished pages have the elements that tree construction gives them."""
+    return events(parse_nodes(_pages(spark, sf_dir))).filter("kind = 'start'").groupBy("page_id").agg(F.count("*").alias("n"))

@@ -145,3 +145,11 @@ def test_queries_over_all_rows(spark, marked_up):
     assert rewritten.keys() == texts.keys() and rewritten["summaries", 1] == '<html><head></head><body><div onclick="x">q</div></body></html>'
     assert got("xpath_longest_every", "value") == {("pages", 0): "9", ("pages", 1): "11", ("contents", 0): "5", ("contents", 2): "3", ("summaries", 1): "1"}
     assert {r["page_id"]: r["title"] for r in QUERIES["feed_entries_every"](spark, folder).collect()} == titles
+
+
+def test_unfinished_pages(spark, marked_up):
+    from pagemill.plans.web import QUERIES
+
+    got = lambda name: {r["page_id"]: r["n"] for r in QUERIES[name](spark, marked_up[0]).collect()}
+    assert got("find_text_every") == {0: 1, 1: 1}
+    assert got("walk_events_every") == {0: 7, 1: 5, 2: 3}
