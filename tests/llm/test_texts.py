@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm.boilerplate import boilerplate, repeated
-from pagemill.llm.garbled import damaged, near_twins, repair, undo, undo_utf8
+from pagemill.llm.garbled import Proposer, damaged, distinct_texts, learn, near_twins, repair, scan, undo, undo_utf8
 from pagemill.llm.languages import Reader, documents_languages, fit, language_code, mislabelled, passages, read_batch
 from pagemill.llm.markup import clean, convert, families
 
@@ -100,6 +100,42 @@ def test_words_hardly_known(spark):
     assert found == {9: right[0], 10: right[1], 11: "Ёлочный базар"}
 
 
+def misread(text, codec="cp1251"):
+    """UTF-8 read as another encoding; undefined bytes stand for themselves."""
+    return "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in text.encode())
+
+
+def test_one_answer_for_each_token(spark):
+    twins = ["Ø is a letter of the north", "Øre and Åse live by the river Ærø", "Die alte Fähre öffnet", "Ein Gefäß für Öl und Süßes"]
+    texts = [*twins * 4, *map(misread, twins)]
+    df = values(spark, texts)
+    fixed = {r["row_id"]: r["repaired"] for r in repair(df.union(df)).collect()}
+    assert {k: fixed[k] for k in range(16, 20)} == dict(zip(range(16, 20), twins, strict=True))
+    assert repair(df.union(df)).count() == 2 * len(fixed) == 8
+    rows = Proposer({("cp1251", "utf-8"): 5, ("cp1252", "cp1251"): 9}).rows
+    assert rows("Г\x98") == [("Г\x98", "Ø", "cp1251", "utf-8", True, None, None, 0)]
+    assert [r[1] for r in rows("x\x98")] == [None]
+    for token in ("Г\x98", "x�", "Ãîðîä", "РџРµС‚СЊ", "РЎ", "plain"):
+        assert len({r[4] for r in rows(token)}) <= 1 and sum(r[4] for r in rows(token)) <= 1
+
+
+def test_read_back_to_the_end():
+    text = "Fähre “öffnet” früh"
+    for times in (1, 2, 3, 4):
+        spoilt = text
+        for _ in range(times):
+            spoilt = spoilt.encode().decode("latin-1")
+        assert undo_utf8(spoilt, "latin-1")[0] == text
+    assert undo_utf8("“" * 5_000 + "Ã©", "cp1252")[0] == "“" * 5_000 + "é"
+
+
+def test_russian_twins_of_utf8(spark):
+    right = ["Старый паром продаёт тёплый хлеб — до рассвета.", "Портовая контора ведёт список пропавших фонарей."]
+    garbled = list(map(misread, right))
+    learned = learn(scan(distinct_texts(values(spark, right * 3 + garbled))))
+    assert learned.get(("cp1251", "utf-8"), 0) >= 10
+
+
 def test_garbled_nothing(spark):
     assert damaged(values(spark, [])).count() == 0
     assert damaged(values(spark, [None, "", "x"])).count() == 0
