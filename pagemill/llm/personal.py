@@ -11,22 +11,29 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.pii_table import Table
+from pagemill.session import materialize
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O", *[f"{p}-{t}" for t in TYPES for p in "BI"]]
 #: Rows of the weight table; features are hashed into it.
 SPACE = 1 << 17
-#: Names that the corpus may add to the list, at most, and the documents a name must be seen in.
-NAMES, SEEN = 20_000, 3
+#: Documents that a name of the corpus must be seen in to join the list.
+SEEN = 3
+#: Names that the lines of the training table are filled from, at most; the list that the field asks has no such bound.
+DRAWN = 20_000
+#: Words of listed names that are sent to every worker (8 bytes each). Where the list is longer, each document brings those it has.
+LISTED = 2_000_000
 #: Blocks whose spans a worker keeps; beyond it the table starts afresh.
 KEPT = 200_000
 
@@ -47,27 +54,47 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1", s)
 
 
+def name_words(name: str) -> list[str]:
+    """Lower-case words of a name; particles are no names."""
+    return [w for w in re.findall(r"\w+", name.lower()) if w not in PARTICLES and len(w) > 1]
+
+
+def _sorted_hashes(words: Iterable[str]) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64))
+
+
 @dataclass
 class Lexicon:
-    given: frozenset[str]
-    family: frozenset[str]
+    """Words of given and of family names, as sorted arrays of their 64-bit hashes."""
+
+    given: np.ndarray
+    family: np.ndarray
+    kinds: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def of(given: list[str], family: list[str]) -> Lexicon:
-        """Lower-case words of the names; particles are no names."""
-        words = lambda names: frozenset(w for n in names for w in re.findall(r"\w+", n.lower()) if w not in PARTICLES and len(w) > 1)
-        return Lexicon(words(given), words(family))
+        return Lexicon(*(_sorted_hashes(w for n in names for w in name_words(n)) for names in (given, family)))
+
+    def add(self, listed: Iterable[tuple[str, bool, bool]]) -> None:
+        """Words that a batch of documents brings, with whether they are given and family names."""
+        self.kinds |= {w: ("B" if f else "G") if g else "F" for w, g, f in listed}
+
+    @staticmethod
+    def _has(hashes: np.ndarray, word: str) -> bool:
+        h = np.uint64(xxhash.xxh64_intdigest(word))
+        at = int(hashes.searchsorted(h))
+        return at < len(hashes) and hashes[at] == h
 
     def kind(self, word: str) -> str:
         low = word.lower()
-        if low in self.given:
-            return "G" if low not in self.family else "B"
-        if low in self.family:
-            return "F"
-        if low in PARTICLES:
-            return "P"
-        if low in TITLES:
-            return "T"
+        if (known := self.kinds.get(low)) is None:
+            given, family = self._has(self.given, low), self._has(self.family, low)
+            known = ("B" if family else "G") if given else "F" if family else "P" if low in PARTICLES else "T" if low in TITLES else ""
+            if len(self.kinds) > KEPT:
+                self.kinds.clear()
+            self.kinds[low] = known
+        if known:
+            return known
         if word[0].isdigit():
             return f"{min(len(word), 6)}"
         if word[0].isalpha():
@@ -84,7 +111,6 @@ def _hash(text: str) -> int:
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 EDGE = "\x00"
 _ZEROS = str.maketrans("123456789", "000000000")
-DIGITS = bytes.maketrans(b"123456789", b"000000000")
 
 
 def word_features(word: str, kind: str, offset: int) -> list[int]:
@@ -391,61 +417,134 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
         yield begin, text[begin:end]
 
 
-def corpus_names(documents: DataFrame, given: list[str], family: list[str]) -> tuple[list[str], list[str]]:
-    """Names of the corpus that stand beside listed ones: new given names before listed family names and the reverse.
+def _letters(wanted: str) -> str:
+    """The upper- or lower-case letters of the basic plane as a character class."""
+    codes = [c for c in range(0x10000) if getattr(chr(c), wanted)()]
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+
+
+_CAPITAL = f"{_letters('isupper')}{_letters('islower')}+"
+_BESIDE = re.compile(
+    rf"(?<![^\W\d_])(?<!\.)({_CAPITAL}(?:-{_CAPITAL})?)(?=(?: {_letters('isupper')}\.)?[ \n]"
+    rf"((?:(?:von|van|de|del|da|di|la|le|dos|du) ){{0,2}}(?:[OD]’)?{_CAPITAL}(?:-{_CAPITAL})?)(?![^\W\d_])(?: ({_CAPITAL})(?![^\W\d_]))?)"
+)
+#: Pairs of words that a task counts before it hands the counts on.
+COUNTED = 200_000
+
 
-    Counted over all documents; a name must occur in ``SEEN`` documents and beside two different listed names. At most
-    ``NAMES`` of each kind come back, the most frequent ones.
+def corpus_names(documents: DataFrame, names: DataFrame) -> DataFrame:
+    """``name``, ``kind`` and ``n`` of the names of the corpus that stand beside listed ones: new given names before listed
+    family names and the reverse.
+
+    Counted over all documents in one pass, per task before they are shuffled; a name must occur in ``SEEN`` documents and
+    beside two different listed names. All names that do come back, whatever their number.
     """
+    out = ["given", "family", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            given, family = [a for a, _ in pairs], [b for _, b in pairs]
+            batch = pa.RecordBatch.from_arrays([pa.array(given, pa.string()), pa.array(family, pa.string()), pa.array(list(pairs.values()), pa.int64())], names=out)
+            pairs.clear()
+            return batch
 
-    def beside(pattern: str, own: int, other: int, known: list[str]) -> list[str]:
-        if not known:
-            return []
-        names = "|".join(re.escape(x).replace("\\ ", " ") for x in sorted(known, key=len, reverse=True))
-        regex = pattern.replace("NAMES", f"(?:{names})")
-        found = documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({regex})"), F.lit(1)))).alias("m"))
-        pairs = found.select("doc_id", F.regexp_extract("m", regex, own).alias("name"), F.regexp_extract("m", regex, other).alias("beside"))
-        counts = pairs.groupBy("name", "beside").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-        rows = counts.filter((F.col("n") >= SEEN) & (F.col("kinds") >= 2)).orderBy(F.desc("n"), "name").limit(NAMES).collect()
-        return [r["name"] for r in rows if r["name"].lower() not in TITLES | PARTICLES]
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = set(_BESIDE.findall(text or ""))
+                pairs.update({(a, b) for a, b, _ in found} | {(a, f"{b} {c}") for a, b, c in found if c})
+            if len(pairs) > COUNTED:
+                yield counted()
+        yield counted()
+
+    pairs = documents.select("text").mapInArrow(run, "given string, family string, n bigint").groupBy("given", "family").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs, "beside")
+
+    def beside(new: str, listed: str) -> DataFrame:
+        known = names.filter(F.col("kind") == listed).select(F.col("name").alias(listed)).distinct()
+        counts = pairs.join(known, listed).groupBy(F.col(new).alias("name")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        return counts.filter((F.col("n") >= SEEN) & (F.col("kinds") >= 2) & ~F.lower("name").isin(*TITLES | PARTICLES)).select("name", F.lit(new).alias("kind"), "n")
+
+    given = beside("given", "family").filter(~F.col("name").contains("-"))
+    family = beside("family", "given").filter(F.regexp_replace("name", "^(?:(?:von|van|de|del|da|di|la|le|dos|du) )*", "").contains(" ") == F.lit(False))
+    return given.union(family)
+
+
+def listed_words(names: DataFrame) -> DataFrame:
+    """``word``, ``given``, ``family``: the words of ``names`` (``name``, ``kind``), each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, k) for n, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in name_words(n)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.string())], names=["word", "kind"])
+
+    words = names.select("name", "kind").mapInArrow(run, "word string, kind string")
+    return words.groupBy("word").agg(F.bool_or(F.col("kind") == "given").alias("given"), F.bool_or(F.col("kind") == "family").alias("family"))
+
+
+def _with_listed(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """The documents with ``listed``, the listed words that they have: the way for a list too long to be sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(k, w) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in set(re.findall(r"[^\W\d_]+", (t or "").lower()))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array([w for _, w in own], pa.string())], names=["key", "word"])
 
-    capital = r"\p{Lu}\p{Ll}+"
-    new_given = beside(rf"(?<![\p{{L}}.])({capital})(?: \p{{Lu}}\.)?[ \n](NAMES)(?!\p{{L}})", 1, 2, family)
-    new_family = beside(rf"(?<!\p{{L}})(NAMES)(?: \p{{Lu}}\.)?[ \n]((?:(?:von|van|de|del|da|di|la|le|dos|du) ){{0,2}}(?:[OD]’)?{capital}(?:-{capital})?)(?!\p{{L}})", 2, 1, given)
-    return new_given, new_family
+    has = documents.mapInArrow(run, "key bigint, word string").join(words, "word").groupBy("key").agg(F.collect_set(F.struct("word", "given", "family")).alias("listed"))
+    return documents.join(has, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", "listed")
 
 
 def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and ``found``, an array of (start, end, type) in code points.
 
-    ``names`` (``name``, ``kind`` given or family) need not be complete: it is a small table and is read to the driver, and
-    names that occur beside listed ones in the documents are added. Null and empty texts have no mentions.
+    ``names`` (``name``, ``kind`` given or family) need not be complete: names that occur beside listed ones in the documents
+    are added. The list may have any length: up to ``LISTED`` words it is sent to the workers, beyond that it is joined with the
+    words of the documents. Null and empty texts have no mentions.
     """
-    rows = [(r["name"], r["kind"]) for r in names.filter("name IS NOT NULL").select("name", "kind").distinct().orderBy("name", "kind").limit(NAMES).collect()]
-    given, family = [n for n, k in rows if k == "given"], [n for n, k in rows if k == "family"]
-    more_given, more_family = corpus_names(documents.select("doc_id", "text"), given, family)
-    lexicon = Lexicon.of(given + more_given, family + more_family)
-    tagger = train(lexicon, Table(given + more_given, family + more_family))
-    weights, transitions = tagger.weights, tagger.transitions
+    spark = documents.sparkSession
+    documents = documents.select(F.col("doc_id").cast("bigint"), "text")
+    names = names.filter("name IS NOT NULL AND kind IN ('given', 'family')").select("name", "kind").distinct()
+    more = materialize(corpus_names(documents, names), "names")
+    listed = names.withColumn("n", F.lit(1 << 62)).unionByName(more)
+    drawn = listed.orderBy(F.desc("n"), "name", "kind").limit(DRAWN).collect()
+    given, family = ([r["name"] for r in drawn if r["kind"] == k] for k in ("given", "family"))
+    tagger = train(Lexicon.of(given, family), Table(given, family))
+    words = materialize(listed_words(listed), "listed")
+    if words.count() <= LISTED:
+        rows = words.collect()
+        lexicon = Lexicon(*(_sorted_hashes(r["word"] for r in rows if r[k]) for k in ("given", "family")))
+        read = documents.withColumn("listed", F.lit(None).cast("array<struct<word:string,given:boolean,family:boolean>>"))
+    else:
+        lexicon = Lexicon.of([], [])
+        read = _with_listed(documents, words)
+    model = spark.sparkContext.broadcast((lexicon, tagger.weights, tagger.transitions))
     schema = "doc_id bigint, text string, found array<struct<start:bigint,end:bigint,type:string>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, known = Tagger(lexicon, weights, transitions), {}
+        tagger, known = Tagger(*model.value), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                # The field knows the number of digits, not their values, so blocks that differ in them share one result.
-                texts = [t.encode().translate(DIGITS).decode() if t else "" for t in part.column(1).to_pylist()]
-                split = [list(blocks(t)) for t in texts]
+                for own in part.column(2).to_pylist():
+                    tagger.lexicon.add((w["word"], w["given"], w["family"]) for w in own or ())
+                split = [[(s, b, b.translate(_ZEROS)) for s, b in blocks(t)] if t else [] for t in part.column(1).to_pylist()]
                 if len(known) > KEPT:
                     known.clear()
-                new = list(dict.fromkeys(b for bs in split for _, b in bs if b not in known))
-                known |= dict(zip(new, tagger.spans(new), strict=True))
-                found = [[{"start": s + a, "end": s + e, "type": k} for s, b in bs for a, e, k in known[b]] for bs in split]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=["doc_id", "text", "found"])
+                # No feature looks at the value of a digit, so blocks that differ in those alone have the same result.
+                new = {key: b for bs in split for _, b, key in bs if key not in known}
+                known |= dict(zip(new, tagger.spans(list(new.values())), strict=True))
+                found = [[{"start": s + a, "end": s + e, "type": k} for s, _, key in bs for a, e, k in known[key]] for bs in split]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, kind)], names=["doc_id", "text", "found"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def redact(found: DataFrame) -> DataFrame:

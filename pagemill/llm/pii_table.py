@@ -56,7 +56,7 @@ PARTS = {
     "h": "quill|lanternpost|kontor|tarnwick|correo-sur|velmora|brieftaube|mercato",
     "u": "anna|peter.m|k.lund|rosa|mvale|tomlin|brook|jonas|farrow|stein|mill|vela|okarr|ashby-cole|hale-fenn",
 }
-# Lines of speech that carry mentions.
+# Lines of speech that carry mentions; ¶ is a line break.
 CARRIERS = """
     Call me on {phone} before noon.|The number is {phone}.|{phone} - that's the one she gave me.|{phone}|Ruf mich vor Mittag unter {phone} an.|Die Nummer ist {phone}.
     Appelle-moi au {phone} avant midi.|Le numéro est {phone}.|Llámame al {phone} antes del mediodía.|El número es {phone}.|Liga-me para o {phone} antes do meio-dia.|O número é {phone}.
@@ -75,12 +75,14 @@ CARRIERS = """
     Tu connais {name} ?|Demande à Mme {name}.|Me llamo {name}.|¿Conoces a {name}?|Pregúntale a don {name}.|Chamo-me {name}.|Conheces {name}?|Pergunta à Dona {name}.
     Mi chiamo {name}.|Conosci {name}?|Chiedi alla signora {name}.|Nazywam się {name}.|Znasz {name}?|Zapytaj panią {name}.|Меня зовут {name}.|А вот и {name}.
     Спроси у {name}.|Ты знаешь {name}?|... {name} ...|And then {name} said no.|{emans}|{name} and {name} left.|{name}, {address}|E então {name} disse que não.|{name}!
+    - {emans}¶- Ok.|- {name}¶- No.|- {name}¶- Ja, bitte.|- Who is there?¶- {name}.|- {emans}¶- {emans}|- {phone}¶- Thanks.|- {address}¶- Merci.|- {email}¶- Bene.|- {name}?¶- {GIVEN}: No.
     Translated by {name}|Untertitel: {name}|Traduction : {name}|Dobrze zna to {name}.|I saw {name} there, with {given}.
 """
 # Lines that look like mentions and are none.
 NEGATIVES = """
     Lot ####-###, sold.|ISBN #-##-####-#|Case ####/####, closed.|Flight QV ####, gate B##.|Room ##, floor #.|Frequency ###.#, channel ##.|Price: ####,##|Episode ##, take #.|## x #### px
     ##.####, #.####|#.#.## - ##:##|#### / ##|+## ### pts|v#.#.#|v#.##.#|There are ## of them outside.|The train leaves in ## minutes.|## months of waiting.|Order ######-####, paid.
+    - {given}!¶- {given}?|- Ok.¶- {given}.|{given}.¶{family} Hall is closed.|- Who?¶- {given}, the ferryman.
     Support us and become a VIP member at vault##.test|Subtitles downloaded from www.cuenest##.example|== Ripped by qvx-## ==|Follow @{u}_## now.|See {h}.example/notes/####|@{u}
     {given}!|{given}, {given}.|{GIVEN}: I will think about it tomorrow.|{GIVEN}: Was macht das Museum denn?|{GIVEN}: Где это было?|{given} was here.|Where is {given}?|Wo ist {given}?
     {GIVEN}: The town council counts ## boats on the river.|{GIVEN}: {given}, listen to me.|- {GIVEN}: No.|{given}?|{given} ist nicht da.|¿Dónde está {given}?|{given} & {given}
@@ -172,6 +174,7 @@ class Table:
                 out += text
             else:
                 out += spoilt(self.fill(piece))
+        out = out.replace("¶", "\n")
         if r.random() < 0.25 and (blanks := [i for i, c in enumerate(out) if c == " "]):  # a line break between words
             at = r.choice(blanks)
             out = f"{out[:at]}\n{out[at + 1 :]}"
@@ -179,7 +182,7 @@ class Table:
         front, back = ("<i>", "</i>") if wrap < 0.08 else ("- ", "") if wrap < 0.16 else ("... ", " ...") if wrap < 0.24 else ("[", "]") if wrap < 0.27 else ("", r.choice(["", "", "", "?", "!"]) if wrap < 0.45 else "")
         return front + out + back, [(a + len(front), b + len(front), k) for a, b, k in spans]
 
-    def rows(self, times: int = 20) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    def rows(self, times: int = 32) -> list[tuple[str, list[tuple[int, int, str]]]]:
         lines = _lines(CARRIERS) + _lines(NEGATIVES)
         lines += [x for x in lines if re.fullmatch(r"\{\w+\}[!?]?", x)] * 4  # mentions that stand alone, in every wrapping
         return [self.row(line) for _ in range(times) for line in lines]

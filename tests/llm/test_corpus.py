@@ -10,7 +10,7 @@ import pytest
 from pagemill.llm import mixing, packing
 from pagemill.llm.mixing import mix
 from pagemill.llm.packing import container_fill, divided, dot_product_bins, pack
-from pagemill.llm.personal import Lexicon, blocks, checked, mentions, redact, train, viterbi
+from pagemill.llm.personal import Lexicon, blocks, checked, corpus_names, mentions, redact, train, viterbi
 from pagemill.llm.pii_table import Table
 from pagemill.llm.tokens import TOKENIZER, TOKENIZER_DIR, Counter, encoding, pieces_of
 
@@ -147,6 +147,32 @@ def test_mentions_and_redaction(spark):
     assert "Call me on [PHONE]\nbefore" in texts[1] and "[NAME]." in texts[1] and texts[3] is None and texts[5] == docs[4][1]
 
 
+def test_values_of_digits_do_not_matter(tagger):
+    rng = random.Random(3)
+    given, family = [n for n, k in NAMES if k == "given"], [n for n, k in NAMES if k == "family"]
+    texts = [t for t, _ in Table(given, family, seed=5).rows(1)][:400]
+    other = ["".join(rng.choice("0123456789") if c.isdigit() and c.isascii() else c for c in t) for t in texts]
+    assert tagger.spans(texts) == tagger.spans(other)
+
+
+def test_names_found_beside_listed_ones(spark):
+    names = spark.createDataFrame([*NAMES, ("Castell", "family")], "name string, kind string")
+    texts = ["Zora Tindrake spoke.", "It was Zora K. Castell", "Zora Almendral Ruz left", "Marlowe Quenby", "Götz von Quenby", "Marlowe de la Sorne", "Götz de la Sorne", "Odd Tindrake", None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts * 3], "text string")
+    got = {(r["name"], r["kind"], r["n"]) for r in corpus_names(docs, names).collect()}
+    assert got == {("Zora", "given", 9), ("de la Sorne", "family", 6)}
+
+
+@pytest.mark.parametrize("listed", [2_000_000, 0])
+def test_long_lists_are_joined(spark, monkeypatch, listed):
+    monkeypatch.setattr("pagemill.llm.personal.LISTED", listed)
+    docs = [(1, "My name is Marlowe Tindrake."), (1, "Kennst du GÖTZ VON ESCHENKAMP?"), (None, "Ask Nuño Almendral Ruz about it."), (2, "MARLOWE: No."), (3, None)]
+    found = mentions(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(NAMES, "name string, kind string")).collect()
+    got = sorted((r["text"], [r["text"][m["start"] : m["end"]] for m in r["found"]]) for r in found if r["text"])
+    assert got == [("Ask Nuño Almendral Ruz about it.", ["Nuño Almendral Ruz"]), ("Kennst du GÖTZ VON ESCHENKAMP?", ["GÖTZ VON ESCHENKAMP"]), ("MARLOWE: No.", []), ("My name is Marlowe Tindrake.", ["Marlowe Tindrake"])]
+    assert len(found) == 5
+
+
 def test_every_block_is_decoded(spark):
     lines = ["Deliver it to 6B Old Elmfield Street.", "She lives at 4 Kingsmead Road now.", "Она теперь живёт здесь: ул.\nМельничная, д. 5, кв. 4.", "My name is Zoltan Kovacs."]
     docs = [(i, f"1\n00:00:01,000 --> 00:00:02,000\n{x}\n") for i, x in enumerate(lines)]
