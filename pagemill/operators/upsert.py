@@ -1,83 +1,124 @@
 """At-least-once deliveries: idempotent upsert into hash-bucketed sorted storage, merged by compaction.
 
-Every load becomes one *run*: a table bucketed by the hash of the identifier and sorted by it inside each bucket. A run
-is collapsed with map-side aggregation before it is shuffled, so an identifier that holds a third of all rows arrives at
-its bucket as one row per map task. Runs are unique by identifier; compaction merges two sorted runs bucket by bucket
-with a full outer sort-merge join that needs no exchange, and equal identifiers collapse to the winner. Applying a run
-twice changes nothing, because the winner is chosen by a total order.
+Every batch becomes one *run*: a table bucketed by the hash of the identifier and sorted by it inside each bucket, under a
+name of its own in the folder of the store. A run is collapsed with map-side aggregation before it is shuffled, so an
+identifier that holds a third of all rows arrives at its bucket as one row per map task. Runs are unique by identifier;
+compaction merges sorted runs bucket by bucket with a full outer sort-merge join that needs neither exchange nor sort, equal
+identifiers collapse to one row, and the merged run takes the place of its parts. Writing a batch twice changes nothing:
+its run is replaced, and merging is idempotent.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.identifiers import canonical_id, canonical_url
-from pagemill.session import scratch
+from pagemill.session import materialize, scratch
 
-#: Rows of one identifier that one task may pair; larger groups are cut into blocks of this size.
+#: Rows of one identifier that one row of the store may list; larger groups are cut into blocks of this size.
 BLOCK = 2_000
 
 
-class SortedStore:
-    """Runs of rows keyed by ``keys`` in ``buckets`` hash buckets, each bucket sorted by the keys.
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
-    The folder lies under the shared checkpoint folder; tables are external, so dropping the session loses no data.
-    Key columns must not be null, else equal keys could not be merged without an exchange. An empty run is a valid run.
-    """
 
-    def __init__(self, spark: SparkSession, keys: list[str], buckets: int | None = None, name: str = "store") -> None:
-        self.spark, self.keys = spark, keys
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.name, self.runs = f"{name}_{uuid.uuid4().hex[:12]}", 0
+class SortedStore:
+    """Runs of rows keyed by ``keys`` in ``buckets`` hash buckets, each bucket one file sorted by the keys.
+
+    ``merge`` names every other column of a run with the way in which two values of equal keys, the older one first, become
+    one. It must be idempotent: merging a value with itself gives that value.
 
-    def write_run(self, df: DataFrame, into: str | None = None) -> DataFrame:
-        """Write ``df`` as one sorted run and return it as a bucketed table.
+    The store lives in the folder ``path`` (a fresh one under the shared checkpoint folder by default); a store opened
+    again on its folder, in another session too, has its runs. Key columns must not be null, else equal keys could not be
+    merged without an exchange. An empty run is a valid run. Buckets follow ``spark.sql.shuffle.partitions``, which grows
+    with the data of a job, and must not change during the life of a store.
+    """
 
-        With ``into`` the run is appended to that table of the store: its buckets then hold several sorted files, which
-        a scan reads together, so the table still needs no exchange on the keys.
+    def __init__(self, spark: SparkSession, keys: list[str], merge: dict[str, Callable[[Column, Column], Column]], path: str | None = None, buckets: int | None = None) -> None:
+        self.spark, self.keys, self.merge = spark, keys, merge
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = path or scratch(spark, "store")
+        self.name = f"store_{uuid.uuid4().hex[:12]}"
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+    def runs(self) -> list[str]:
+        """Names of the finished runs in the folder."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
+        return sorted(n for n in names if fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def run(self, name: str) -> DataFrame:
+        """A run as a bucketed table."""
+        table = f"{self.name}_{name}"
+        if not self.spark.catalog.tableExists(table):
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(f"{self.path}/{name}").schema)
+            keys = ", ".join(self.keys)
+            self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(table)
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, already dealt out by the hash of the keys, as the run ``name``; replaces a run of that name."""
+        table = f"{self.name}_{name}"
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        # One task holds whole buckets, so each bucket is one file, as long as the partitions are not merged unevenly.
+        writer = df.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).format("parquet").mode("overwrite")
+        writer.option("path", f"{self.path}/{name}").saveAsTable(table)
+        return self.spark.table(table)
+
+    def upsert(self, df: DataFrame, collapse: list[Column], name: str) -> DataFrame:
+        """Collapse ``df`` to one row per key by the aggregates ``collapse`` and write it as the run ``name``."""
+        with _setting(self.spark, "spark.sql.shuffle.partitions", str(self.buckets)):
+            return self._write(df.groupBy(*self.keys).agg(*collapse), name)
+
+    def compact(self) -> DataFrame:
+        """Merge all runs into one, bucket by bucket, and drop its parts once it is written.
+
+        A compaction that was cut off leaves parts beside the run that already holds them; merging them again changes nothing.
         """
-        self.runs += 1
-        name = f"{self.name}_{into or f'run{self.runs}'}"
-        writer = (
-            df.repartition(self.buckets, *self.keys)
-            .write.bucketBy(self.buckets, *self.keys)
-            .sortBy(*self.keys)
-            .format("parquet")
-            .mode("append")
-        )
-        if not self.spark.catalog.tableExists(name):
-            writer = writer.option("path", scratch(self.spark, name))
-        writer.saveAsTable(name)
-        return self.spark.table(name)
-
-    def upsert(self, df: DataFrame, version: list[Column]) -> DataFrame:
-        """Collapse ``df`` to one row per key, the one with the greatest ``version``, and write it as a run."""
-        rest = [c for c in df.columns if c not in self.keys]
-        best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*version))
-        newest = df.groupBy(*self.keys).agg(F.max(F.struct(*version)).alias("_version"), best.alias("_row"))
-        return self.write_run(newest)
-
-    def compact(self, runs: list[DataFrame]) -> DataFrame:
-        """Merge sorted runs pairwise; of equal identifiers the row with the greatest version stays."""
-
-        def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-            left = a.select(*self.keys, F.col("_version").alias("_va"), F.col("_row").alias("_ra"))
-            right = b.select(*self.keys, F.col("_version").alias("_vb"), F.col("_row").alias("_rb"))
-            on = reduce(lambda x, y: x & y, [left[k] == right[k] for k in self.keys])
-            first = F.col("_vb").isNull() | (F.col("_va").isNotNull() & (F.col("_va") >= F.col("_vb")))
-            return left.join(right.hint("merge"), on, "full_outer").select(
-                *[F.coalesce(left[k], right[k]).alias(k) for k in self.keys],
-                F.when(first, F.col("_va")).otherwise(F.col("_vb")).alias("_version"),
-                F.when(first, F.col("_ra")).otherwise(F.col("_rb")).alias("_row"),
-            )
-
-        while len(runs) > 1:
-            runs = [merge(*runs[i : i + 2]) if len(runs[i : i + 2]) == 2 else runs[i] for i in range(0, len(runs), 2)]
-        return runs[0].select(*self.keys, "_row.*")
+        names = self.runs()
+        while len(names) > 1:
+            # The scan of a bucket with one sorted file keeps its order only under this setting.
+            with _setting(self.spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+                merged = [(names[i : i + 2], f"merged{uuid.uuid4().hex[:12]}") for i in range(0, len(names) - 1, 2)]
+                for parts, name in merged:
+                    self._write(self._merged(*map(self.run, parts)), name)
+            for parts, _ in merged:
+                self._drop(parts)
+            names = self.runs()
+        return self.run(names[0])
+
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        left = a.select(*self.keys, *[F.col(c).alias(f"_a_{c}") for c in self.merge])
+        right = b.select(*self.keys, *[F.col(c).alias(f"_b_{c}") for c in self.merge])
+        on = reduce(lambda x, y: x & y, [left[k] == right[k] for k in self.keys])
+        both = left.join(right.hint("merge"), on, "full_outer")
+        values = [F.when(F.col(f"_a_{c}").isNull(), F.col(f"_b_{c}")).when(F.col(f"_b_{c}").isNull(), F.col(f"_a_{c}")).otherwise(way(F.col(f"_a_{c}"), F.col(f"_b_{c}"))).alias(c) for c, way in self.merge.items()]
+        return both.select(*[F.coalesce(left[k], right[k]).alias(k) for k in self.keys], *values)
+
+    def _drop(self, names: list[str]) -> None:
+        fs, path = self._fs()
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{name}")
+            fs.delete(path(f"{self.path}/{name}"), True)
 
 
 def deliveries(entries: DataFrame) -> DataFrame:
@@ -101,60 +142,72 @@ def identifier_rows(entries: DataFrame) -> DataFrame:
     )
 
 
-def item_pairs(entries: DataFrame, runs: int = 2) -> DataFrame:
-    """Pairs ``(row_a, row_b)``, smaller first, of rows that deliver the same item of the same feed.
+GROUP = ["feed_id", "kind", "key"]
 
-    Two rows deliver the same item when their canonical ids are equal or, if at least one of them has no id, their
-    canonical links are. Rows with neither are in no pair; equal ``row_id`` values are one row. Needs ``row_id``,
-    ``feed_id``, ``batch_id``, ``id`` and ``link``; other columns are ignored. An empty table gives no pairs.
 
-    The rows go into a bucketed table in ``runs`` sorted runs by batch; the pairing join merges the runs of each bucket
-    and has no exchange. Groups of more than ``BLOCK`` rows are cut into blocks that lie in buckets of their own and are
-    paired block against block, so no task holds such a group.
+def membership(entries: DataFrame, runs: int = 2, path: str | None = None) -> DataFrame:
+    """The compacted store of the deliveries: one row for each identifier of a feed and block, with its ``members``.
+
+    ``feed_id``, ``kind`` (id or link), ``key``, ``block`` of ``blocks``, and ``members``, the set of (``row_id``,
+    ``has_id``). Identifiers with more than ``BLOCK`` rows are cut into blocks by the hash of ``row_id``, so no row of the
+    store grows with the data. Batches are upserted in ``runs`` runs; each row of the input is read once.
     """
     spark = entries.sparkSession
-    group = ["feed_id", "kind", "key"]
-    keyed = identifier_rows(entries)
-    hot = keyed.groupBy(*group).count().filter(F.col("count") > BLOCK)
+    keyed = materialize(identifier_rows(entries), "keyed")
+    hot = keyed.groupBy(*GROUP).count().filter(F.col("count") > BLOCK)
     blocks = F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int")
-    keyed = keyed.join(hot, group, "left").withColumn("blocks", blocks)
+    keyed = keyed.join(hot, GROUP, "left").withColumn("blocks", blocks)
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("row_id"), F.col("blocks")).cast("int"))
-    store = SortedStore(spark, [*group, "block"], name="deliveries")
+    store = SortedStore(spark, [*GROUP, "block", "blocks"], {"members": F.array_union}, path)
     part = F.pmod(F.coalesce(F.col("batch_id"), F.lit(0)), F.lit(runs))
+    members = F.collect_set(F.struct("row_id", "has_id")).alias("members")
     for r in range(runs):
-        rows = store.write_run(keyed.filter(part == r).drop("batch_id", "count"), into="rows")
-
-    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
-        return df.select(*group, *more, F.col("row_id").alias(f"row_{name}"), F.col("has_id").alias(f"{name}_id"))
+        store.upsert(keyed.filter(part == r), [members], f"run{r}")
+    return store.compact()
 
-    def pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        wanted = F.when(F.col("kind") == "id", F.col("row_a") < F.col("row_b")).otherwise(
-            F.when(F.col("b_id"), F.col("row_a") != F.col("row_b")).otherwise(F.col("row_a") < F.col("row_b"))
-        )
-        return a.join(b.hint("merge"), on).filter(wanted).select(
-            F.least("row_a", "row_b").alias("row_a"), F.greatest("row_a", "row_b").alias("row_b")
-        )
 
-    asking = rows.filter((F.col("kind") == "id") | ~F.col("has_id"))
-    within = pairs(side(asking, "a", "block"), side(rows, "b", "block"), [*group, "block"])
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block"))
-    spread = asking.filter("blocks > 1").withColumn("other", F.explode(others))
-    facing = rows.filter("blocks > 1").withColumnRenamed("block", "other")
-    across = pairs(side(spread, "a", "other"), side(facing, "b", "other"), [*group, "other"])
-    return within.union(across).distinct()
+def item_pairs(entries: DataFrame, runs: int = 2) -> DataFrame:
+    """Pairs ``(row_a, row_b)``, smaller first, of rows that deliver the same item of the same feed.
 
+    Two rows deliver the same item when their canonical ids are equal or, if at least one of them has no id, their
+    canonical links are. Rows with neither are in no pair; repeated rows are one row. Needs ``row_id`` (unique but for
+    repeated rows), ``feed_id``, ``batch_id``, ``id`` and ``link``; other columns are ignored. An empty table gives no pairs.
 
-def latest_items(entries: DataFrame, runs: int = 2) -> DataFrame:
+    The pairs are read from the compacted store (``membership``): those within a block from its row, those between the
+    blocks of a large group from two rows, so no task holds such a group. Two rows with ids pair by id only, others by link
+    only, and equal identifiers are one row of the store, so no pair arises twice.
+    """
+    stored = membership(entries, runs)
+
+    def pairs(df: DataFrame, a: Column, b: Column) -> DataFrame:
+        both = df.select("kind", F.explode(a).alias("a"), b.alias("others")).select("kind", "a", F.explode("others").alias("b"))
+        wanted = (F.col("kind") == "id") | ~F.col("a.has_id") | ~F.col("b.has_id")
+        return both.filter(wanted).select(F.least("a.row_id", "b.row_id").alias("row_a"), F.greatest("a.row_id", "b.row_id").alias("row_b")).filter("row_a < row_b")
+
+    # Sorted, so that each member meets those after it.
+    many = stored.filter("size(members) > 1").select("kind", F.array_sort("members").alias("members"))
+    each = many.select("kind", "members", F.posexplode("members").alias("at", "member"))
+    within = pairs(each, F.array("member"), F.slice("members", F.col("at") + 2, F.size("members")))
+    cut = stored.filter("blocks > 1")
+    ahead = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x > F.col("block"))
+    asking = cut.select(*GROUP, F.explode(ahead).alias("other"), "members")
+    facing = cut.select(*GROUP, F.col("block").alias("other"), F.col("members").alias("facing"))
+    across = pairs(asking.join(facing, [*GROUP, "other"]), F.col("members"), F.col("facing"))
+    return within.union(across)
+
+
+def latest_items(entries: DataFrame, runs: int = 2, path: str | None = None) -> DataFrame:
     """Exactly one row of ``entries`` for each item, all columns kept, with its ``item_key``.
 
     The item of a row is its feed and canonical id; without an id, the id that another row of the feed has under the same
     link (the smallest, if there are several); without one, the link. Rows with neither stand for themselves. Of several
     deliveries the one received last stays, of equally late ones the one with the greatest ``row_id``; null times count
-    as earliest. Upserting the same batch again changes nothing. Empty input gives an empty result.
+    as earliest. Upserting the same batch again changes nothing. Empty input gives an empty result. A column of the input
+    named ``item_key`` is replaced.
     """
     spark = entries.sparkSession
-    data = entries.columns
-    keyed = entries.withColumn("_id", canonical_id(F.col("id"))).withColumn("_link", canonical_url(F.col("link")))
+    data = [c for c in entries.columns if c != "item_key"]
+    keyed = entries.select(*data).withColumn("_id", canonical_id(F.col("id"))).withColumn("_link", canonical_url(F.col("link")))
     known = (
         keyed.filter("_id IS NOT NULL AND _link IS NOT NULL")
         .groupBy(F.col("feed_id").alias("_f"), F.col("_link").alias("_l"))
@@ -167,8 +220,11 @@ def latest_items(entries: DataFrame, runs: int = 2) -> DataFrame:
         .otherwise(F.concat(F.lit(":row:"), F.coalesce(F.col("row_id").cast("string"), F.lit(""))))
     )
     feed = F.coalesce(F.col("feed_id").cast("string"), F.lit(""))
-    rows = keyed.join(known, on, "left").select(*data, F.concat(feed, item).alias("item_key"))
-    store = SortedStore(spark, ["item_key"], name="items")
+    rows = materialize(keyed.join(known, on, "left").select(*data, F.concat(feed, item).alias("item_key")), "items")
+    version = F.struct(F.coalesce(F.col("received_at"), F.lit("0001-01-01").cast("timestamp")).alias("at"), F.coalesce(F.col("row_id"), F.lit(-1)).alias("row"))
+    newest = F.max_by(F.struct(version.alias("version"), F.struct(*[F.col(f"`{c}`") for c in data]).alias("row")), version).alias("newest")
+    store = SortedStore(spark, ["item_key"], {"newest": lambda a, b: F.when(a["version"] >= b["version"], a).otherwise(b)}, path)
     part = F.pmod(F.coalesce(F.col("batch_id"), F.lit(0)), F.lit(runs))
-    version = [F.coalesce(F.col("received_at"), F.lit("0001-01-01").cast("timestamp")), F.coalesce(F.col("row_id"), F.lit(-1))]
-    return store.compact([store.upsert(rows.filter(part == r), version) for r in range(runs)]).select(*data, "item_key")
+    for r in range(runs):
+        store.upsert(rows.filter(part == r), [newest], f"run{r}")
+    return store.compact().select("newest.row.*", "item_key")

@@ -17,7 +17,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_items(table(spark, sf_dir, "entries"))
+    return latest_items(table(spark, sf_dir, "entries")).withColumn("received_at", F.unix_micros("received_at"))
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,12 @@ ORACLES: dict[str, str] = {
 SELECT least(a.row_id, b.row_id) AS row_a, greatest(a.row_id, b.row_id) AS row_b FROM keyed a JOIN keyed b ON a.feed_id = b.feed_id AND a.i = b.i AND a.row_id < b.row_id
 UNION
 SELECT least(a.row_id, b.row_id), greatest(a.row_id, b.row_id) FROM keyed a JOIN keyed b ON a.feed_id = b.feed_id AND a.l = b.l AND a.row_id <> b.row_id WHERE a.i IS NULL""",
+    "p2_items": _KEYED
+    + """,
+known AS (SELECT feed_id, l, min(i) AS by_link FROM keyed WHERE i IS NOT NULL AND l IS NOT NULL GROUP BY feed_id, l),
+items AS (SELECT k.row_id, k.received_at, coalesce(CAST(k.feed_id AS VARCHAR), '')
+  || CASE WHEN coalesce(k.i, n.by_link) IS NOT NULL THEN ':id:' || coalesce(k.i, n.by_link) WHEN k.l IS NOT NULL THEN ':link:' || k.l ELSE ':row:' || k.row_id END AS item_key
+  FROM keyed k LEFT JOIN known n ON k.i IS NULL AND k.feed_id IS NOT DISTINCT FROM n.feed_id AND k.l = n.l),
+ranked AS (SELECT row_id, item_key, row_number() OVER (PARTITION BY item_key ORDER BY received_at DESC NULLS LAST, row_id DESC) AS place FROM items)
+SELECT e.* REPLACE (epoch_us(e.received_at) AS received_at), r.item_key FROM ranked r JOIN entries e ON e.row_id = r.row_id WHERE place = 1""",
 }

@@ -6,7 +6,6 @@ executor can reach, for checkpoints and intermediate tables: it comes from ``spa
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,6 +23,8 @@ def local_session(cores: str | int = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
+    if str(cores).isdigit():
+        settings.setdefault(DEAL, str(cores))
     builder = SparkSession.builder.master(f"local[{cores}]").appName("pagemill")
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,9 +50,22 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path under the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables written so far; results that still read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -67,12 +81,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session setting: into how many parts small inputs of costly kernels are dealt. Unset on a cluster, where scans have parts enough.
+DEAL = "spark.pagemill.deal"
+
+
 def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables, for kernels that cost much per row.
 
-    Where the files give fewer scan tasks than there are cores, as one small file does, the rows are dealt out over the
-    cores; larger tables keep the partitions of their scan and are not shuffled.
+    The plan does not look at the size of the table: its scan is used as it is. A caller that reads one small file on many
+    cores, as tests and the benchmark do, asks for rows to be dealt out by the setting ``DEAL``.
     """
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = spark.conf.get(DEAL, None)
+    return df.repartition(int(parts)) if parts else df

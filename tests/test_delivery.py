@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.identifiers import canonical_id, canonical_url
 from pagemill.operators import upsert
 from pagemill.operators.instants import normalize_instants
-from pagemill.operators.upsert import item_pairs, latest_items
+from pagemill.operators.upsert import GROUP, SortedStore, item_pairs, latest_items, membership
 
 ENTRY = "row_id bigint, feed_id bigint, batch_id bigint, received_at timestamp, id string, link string, title string"
 
@@ -78,6 +78,31 @@ def test_pairs_of_nothing_and_repeated_rows(spark):
     assert item_pairs(rows(spark, twice)).count() == 0
 
 
+def test_store_is_idempotent_and_persists(spark, tmp_path):
+    path = str(tmp_path / "store")
+    data = [(i, 1, i % 2, None, f"u{i % 5}", "l", None) for i in range(40)]
+    entries = rows(spark, data)
+    wanted = {(r["kind"], r["key"]): {m["row_id"] for m in r["members"]} for r in membership(entries).collect()}
+    assert len(wanted[("link", "l")]) == 40 and len(wanted) == 6
+    for part in (entries, entries, entries.filter("batch_id = 1")):  # the same batches again, whole and in part
+        got = membership(part, path=path).collect()
+        assert {(r["kind"], r["key"]): {m["row_id"] for m in r["members"]} for r in got} == wanted
+    store = SortedStore(spark, [*GROUP, "block", "blocks"], {"members": F.array_union}, path)
+    assert len(store.runs()) == 1
+    assert store.run(store.runs()[0]).count() == 6
+
+
+def test_merging_runs_needs_neither_exchange_nor_sort(spark, tmp_path):
+    store = SortedStore(spark, ["k"], {"v": F.greatest}, str(tmp_path / "store"))
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("v"))
+    for i in range(3):
+        store.upsert(df.filter(F.col("v") % 3 == i), [F.max("v").alias("v")], f"run{i}")
+    with upsert._setting(spark, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):
+        plan = store._merged(store.run("run0"), store.run("run1"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert {(r["k"], r["v"]) for r in store.compact().collect()} == {(k, 900 + k) for k in range(100)}
+
+
 def test_latest_items(spark):
     t = datetime(2024, 1, 1)
     data = [
@@ -85,7 +110,7 @@ def test_latest_items(spark):
         (4, 1, 2, t + timedelta(9), None, "l", "joins a by link"), (5, 1, 1, None, None, "m", "no time"), (6, 1, 1, t, None, "m", "with time"),
         (7, 1, 1, t, None, None, "alone"), (8, 1, 1, t, None, " ", "alone too"), (9, 2, 1, t, "a", "l", "other feed"), (10, None, None, None, None, None, None),
     ]
-    out = latest_items(rows(spark, data).withColumn("item_key", F.lit("clash")).drop("item_key"))
+    out = latest_items(rows(spark, data).withColumn("item_key", F.lit("clash")))
     assert sorted(r["row_id"] for r in out.collect()) == [4, 6, 7, 8, 9, 10]
     assert latest_items(rows(spark, data + data)).count() == 6
     assert latest_items(rows(spark, [])).count() == 0
