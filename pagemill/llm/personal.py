@@ -37,12 +37,10 @@ LISTED = 2_000_000
 #: Blocks whose spans a worker keeps; beyond it the table starts afresh.
 KEPT = 200_000
 
+_DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"</?[a-z]+>|\w+|[^\w\s]")
 _NUMBER = re.compile(r"[(+]?[0-9OQ][0-9OQA-Z]*(?:[ \t\r\n]{0,2}[-./()]{0,2}[ \t\r\n]?(?:[0-9][0-9O]*|O[0-9]+|(?<=[0-9O] )[A-Z](?![\w])|(?<=-)[A-Z](?!\w))[A-Z]?(?![a-z]))*")
 _ADDRESS = re.compile(r"(?<!\S)(?:</?[a-z]+>)?([^\s<>@＠]+[@＠][^\s<>@＠]+\.[^\s<>@＠]+)")
-_FRAME = re.compile(r"﻿?\s*|[^\n]*-->[^\n]*")
-_CUE = re.compile(r"﻿?\s*[0-9]+\s*")
-_HEAD = re.compile(r"﻿?(?:WEBVTT|NOTE|STYLE|REGION)\s*")
 # Particles of family names, and titles before names.
 PARTICLES = frozenset("von van de del della di da do dos das la le los las du des der den".split())
 TITLES = frozenset("dr mr mrs ms miss sir herr frau m mme mlle monsieur madame don doña señor señora sr sra dona senhor senhora signor signora sig pan pani panią pana господин госпожа prof".split())
@@ -110,11 +108,16 @@ def _hash(text: str) -> int:
 
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 EDGE = "\x00"
-_ZEROS = str.maketrans("123456789", "000000000")
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
+
+
+def levelled(text: str) -> str:
+    """The text with every digit as 0, as the features see it."""
+    return text.encode("utf-8", "surrogatepass").translate(_ZEROS).decode("utf-8", "surrogatepass") if _DIGIT.search(text) else text
 
 
 def word_features(word: str, kind: str, offset: int) -> list[int]:
-    low = word.lower().translate(_ZEROS)
+    low = levelled(word.lower())
     keys = [f"k{kind}", f"s{shape(word)}"]
     if not word[0].isdigit():
         keys += [f"w{low}"] if abs(offset) < 3 else []
@@ -122,97 +125,143 @@ def word_features(word: str, kind: str, offset: int) -> list[int]:
     return [_hash(f"{offset}{k}") for k in keys]
 
 
-def tokenize(text: str) -> tuple[list[str], list[int], list[str]]:
-    """Tokens, where they begin, and the shape of the number around each (empty outside numbers)."""
-    found = [(m[0], m.start()) for m in _TOKEN.finditer(text)]
-    tokens, starts = [t for t, _ in found], [s for _, s in found]
-    numbers = [""] * len(tokens)
-    at = 0
-    for m in _NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) < 2:
-            continue
+def starts_of(text: str, tokens: list[str]) -> list[int]:
+    """Where the tokens begin."""
+    starts, at = [], 0
+    for t in tokens:
+        at = text.index(t, at)
+        starts.append(at)
+        at += len(t)
+    return starts
+
+
+def tokenize(text: str) -> tuple[list[str], list[str] | None]:
+    """Tokens, and the shape of the number or mailbox around each (empty outside; null if there is none at all)."""
+    tokens = _TOKEN.findall(text)
+    found = [m for m in _NUMBER.finditer(text) if sum(c.isdigit() for c in m[0]) > 1] if _DIGIT.search(text) else []
+    mailbox = "@" in text or "＠" in text
+    if not found and not mailbox:
+        return tokens, None
+    starts, numbers, at = starts_of(text, tokens), [""] * len(tokens), 0
+    for m in found:
         form = re.sub(r"\s+", " ", re.sub(r"[0-9]|(?<=[0-9])O|O(?=[0-9])", "9", m[0]))
         while at < len(starts) and starts[at] < m.start():
             at += 1
         while at < len(starts) and starts[at] < m.end():
             numbers[at] = ("<" if starts[at] == m.start() else ">") + form
             at += 1
-    if "@" in text or "＠" in text:
+    if mailbox:
         for m in _ADDRESS.finditer(text):
             for i, s in enumerate(starts):
                 if m.start(1) <= s < m.end(1):
                     numbers[i] = "<@" if s == m.start(1) else ">@"
-    return tokens, starts, numbers
+    return tokens, numbers
+
+
+def _sums(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
+    """The sum of the weights of each row of features."""
+    sizes = np.array([len(r) for r in rows])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = np.array([i for r in rows for i in r])
+    return np.add.reduceat(weights[flat], starts, axis=0)
 
 
 class Tagger:
-    """The field: weights by hashed feature and label, and transitions."""
+    """The field: weights by hashed feature and label, and transitions.
+
+    Words are numbered as they are met, with their classes; the classes and the number around a token are packed into one
+    integer. The scores of a word, and of such an integer, are summed once.
+    """
 
     def __init__(self, lexicon: Lexicon, weights: np.ndarray, transitions: np.ndarray) -> None:
         self.lexicon, self.weights, self.transitions = lexicon, weights, transitions
-        self.words: dict[str, int] = {EDGE: 0}
-        self.kinds: list[str] = ["^"]
-        self.emission = self._rows(EDGE, "^")[:, None]
-        self.windows: dict[tuple[str, ...], int] = {}
-        self.sequence = np.zeros((0, len(LABELS)))
-
-    def _rows(self, word: str, kind: str) -> np.ndarray:
-        return np.stack([self.weights[word_features(word, kind, o)].sum(axis=0) for o in OFFSETS])
-
-    def _sequences(self, read: list[tuple[list[str], list[str]]]) -> np.ndarray:
-        """Scores from the classes around each token and its number; equal windows are summed once."""
-        if len(self.windows) > KEPT:
-            self.windows, self.sequence = {}, self.sequence[:0]
-        windows, which, new = self.windows, [], []
-        for kinds, numbers in read:
-            for window in _windows(kinds, numbers):
-                if (k := windows.get(window)) is None:
-                    k = windows[window] = len(windows)
-                    new.append(self.weights[[_hash(x) for x in window_features(*window)]].sum(axis=0))
-                which.append(k)
-        if new:
-            self.sequence = np.concatenate([self.sequence, np.stack(new)])
-        return self.sequence[which]
+        self.kinds: dict[str, int] = {"^": 0, "$": 1}
+        self.forms: dict[str, int] = {"": 0}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Numbers 0 and 1 stand before and after a text.
+        edge = np.stack([_sums(self.weights, [word_features(EDGE, "^", o)]) for o in OFFSETS])
+        self.words: dict[str, int] = {EDGE: 0, EDGE * 2: 1}
+        self.kind_of = np.array([0, 1])
+        self.emission = np.concatenate([edge, edge], axis=1)
+        self.windows: dict[int, int] = {}
+        self.sequence = np.zeros((0, len(LABELS)), dtype=self.weights.dtype)
 
     def _learn(self, words: set[str]) -> None:
         if len(self.words) > KEPT:
-            self.__init__(self.lexicon, self.weights, self.transitions)
-        if new := [w for w in words if w not in self.words]:
-            kinds = [self.lexicon.kind(w) for w in new]
-            rows = np.stack([self._rows(w, k) for w, k in zip(new, kinds, strict=True)], axis=1)
-            self.words |= {w: len(self.kinds) + i for i, w in enumerate(new)}
-            self.kinds += kinds
+            self._forget()
+        new = [w for w in words if w not in self.words]
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            kinds = [self.lexicon.kind(w) for w in part]
+            rows = np.stack([_sums(self.weights, [word_features(w, k, o) for w, k in zip(part, kinds, strict=True)]) for o in OFFSETS])
+            first = len(self.words)
+            self.words |= {w: first + i for i, w in enumerate(part)}
+            self.kind_of = np.concatenate([self.kind_of, [self.kinds.setdefault(k, len(self.kinds)) for k in kinds]])
             self.emission = np.concatenate([self.emission, rows], axis=1)
 
-    def emissions(self, read: list[tuple[list[str], list[str]]]) -> list[np.ndarray]:
-        """Scores of the labels of each token of each block."""
-        words, edge = self.words, [0] * len(OFFSETS)
-        ids = [0, 0, 0]
-        begins = []
-        for tokens, _ in read:
+    def _sequences(self, codes: np.ndarray) -> np.ndarray:
+        """Scores from the classes around each token and its number."""
+        if len(self.windows) > KEPT:
+            self.windows, self.sequence = {}, self.sequence[:0]
+        different, back = np.unique(codes, return_inverse=True)
+        known, new = self.windows, []
+        which = []
+        for code in different.tolist():
+            if (k := known.get(code)) is None:
+                k = known[code] = len(known)
+                new.append(code)
+            which.append(k)
+        if new:
+            names, forms = list(self.kinds), list(self.forms)
+            unpacked = (([names[code >> 6 * i & 63] for i in (4, 3, 2, 1, 0)], forms[code >> 30]) for code in new)
+            self.sequence = np.concatenate([self.sequence, _sums(self.weights, [[_hash(x) for x in window_features(*kinds, form)] for kinds, form in unpacked])])
+        return self.sequence[np.array(which, dtype=np.int64)[back]]
+
+    def emissions(self, read: list[tuple[list[str], list[str] | None]]) -> list[np.ndarray]:
+        """Scores of the labels of each token of each block; no block is empty."""
+        words, ids, begins = self.words, [0, 0, 0, 0], []
+        numbered = []
+        for tokens, numbers in read:
             begins.append(len(ids))
-            ids += [words[t] for t in tokens]
-            ids += edge[:3]
+            if numbers is not None:
+                numbered += [(begins[-1] + i, self.forms.setdefault(n, len(self.forms))) for i, n in enumerate(numbers) if n]
+            ids += map(words.__getitem__, tokens)
+            ids += (1, 1, 0, 0)
+        ids += (0, 0)
         row = np.array(ids)
-        inner = np.arange(3, len(row) - 3)
-        scores = np.zeros((len(row), len(LABELS)))
-        scores[3:-3] = sum(self.emission[j, row[inner + o]] for j, o in enumerate(OFFSETS))
-        kinds = self.kinds
-        at = np.concatenate([np.arange(b, b + len(tokens)) for b, (tokens, _) in zip(begins, read, strict=True)])
-        scores[at] += self._sequences([([kinds[k] for k in ids[b : b + len(tokens)]], numbers) for b, (tokens, numbers) in zip(begins, read, strict=True)])
-        return [scores[b : b + len(tokens)] for b, (tokens, _) in zip(begins, read, strict=True)]
+        at = np.flatnonzero(row > 1)
+        kinds = self.kind_of[row]
+        code = kinds[at - 2] << 24 | kinds[at - 1] << 18 | kinds[at] << 12 | kinds[at + 1] << 6 | kinds[at + 2]
+        if numbered:
+            form = np.zeros(len(row), dtype=np.int64)
+            where, which = zip(*numbered, strict=True)
+            form[list(where)] = which
+            code |= form[at] << 30
+        scores = self._sequences(code)
+        for j, o in enumerate(OFFSETS):
+            scores += self.emission[j, row[at + o]]
+        ends = np.cumsum([len(tokens) for tokens, _ in read])
+        return np.split(scores, ends[:-1])
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Begin, end and type of every mention in each text."""
+        if len(self.forms) > KEPT:
+            self.forms, self.windows, self.sequence = {"": 0}, {}, self.sequence[:0]
         read = [tokenize(t) for t in texts]
-        self._learn({w for tokens, _, _ in read for w in tokens})
+        self._learn({w for tokens, _ in read for w in tokens})
         order = sorted((i for i in range(len(read)) if read[i][0]), key=lambda i: len(read[i][0]))
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for b in range(0, len(order), 256):
-            part = order[b : b + 256]
-            emitted = self.emissions([(read[i][0], read[i][2]) for i in part])
-            for i, path in zip(part, viterbi(emitted, self.transitions), strict=True):
-                found[i] = checked(texts[i], _spans(path, *read[i][:2]), self.lexicon)
+        for big in range(0, len(order), 4_096):
+            chosen = order[big : big + 4_096]
+            emitted = self.emissions([read[i] for i in chosen])
+            for b in range(0, len(chosen), 256):
+                part = chosen[b : b + 256]
+                for i, path in zip(part, viterbi(emitted[b : b + 256], self.transitions), strict=True):
+                    if path.any():
+                        tokens = read[i][0]
+                        found[i] = checked(texts[i], _spans(path, tokens, starts_of(texts[i], tokens)), self.lexicon)
         return found
 
 
@@ -321,10 +370,11 @@ def train(lexicon: Lexicon, table: Table, epochs: int = 8, rate: float = 0.35, d
     data = []
     rng = np.random.default_rng(5)
     for text, spans in table.rows():
-        tokens, starts, numbers = tokenize(text)
+        tokens, numbers = tokenize(text)
         kinds = [lexicon.kind(t) for t in tokens]
         if not tokens:
             continue
+        starts, numbers = starts_of(text, tokens), numbers or [""] * len(tokens)
         gold = np.zeros(len(tokens), dtype=np.int64)
         for a, b, kind in spans:
             inside = [i for i, s in enumerate(starts) if a <= s < b]
@@ -394,27 +444,26 @@ def _gradient(emitted: np.ndarray, golds: list[np.ndarray], transitions: np.ndar
     return (observed - expected).transpose(1, 0, 2)[place.T], tgradient
 
 
+_END = r"(?:\r\n?|\n|\Z)"
+_IN_LINE = r"[^\S\r\n]*"
+_SPEECH = re.compile(
+    rf"(?<![^\r\n])(?:(?!\ufeff?{_IN_LINE}{_END})(?![^\r\n]*-->)(?!\ufeff?{_IN_LINE}[0-9]+{_IN_LINE}(?:\r\n?|\n)[^\r\n]*-->)[^\r\n]+{_END})+"
+)
+_HEAD = re.compile(rf"(?:\ufeff?(?:WEBVTT|NOTE|STYLE|REGION){_IN_LINE}{_END})+")
+
+
 def blocks(text: str) -> Iterator[tuple[int, str]]:
     """The blocks of lines of speech, with where they begin: cue numbers, times and blank lines part them.
 
     A line of digits is a cue number only before a line with times. Of a WebVTT file, the words that open its blocks are left
     out where they stand alone; titles and comments are read like speech.
     """
-    begin = end = -1
-    at = 0
-    lines = text.splitlines(keepends=True)
-    for line, after in zip(lines, [*lines, ""][1:], strict=True):
-        bare = line.rstrip("\r\n")
-        if _FRAME.fullmatch(bare) or ("-->" in after and _CUE.fullmatch(bare)) or (begin < 0 and _HEAD.fullmatch(bare)):
-            if begin >= 0:
-                yield begin, text[begin:end]
-            begin = -1
-        else:
-            begin = at if begin < 0 else begin
-            end = at + len(bare)
-        at += len(line)
-    if begin >= 0:
-        yield begin, text[begin:end]
+    for m in _SPEECH.finditer(text):
+        begin, block = m.start(), m[0]
+        if block[0] in "WNSR\ufeff" and (head := _HEAD.match(block)):
+            begin, block = begin + head.end(), block[head.end() :]
+        if block := block.rstrip("\r\n"):
+            yield begin, block
 
 
 def _letters(wanted: str) -> str:
@@ -501,8 +550,8 @@ def _with_listed(documents: DataFrame, words: DataFrame) -> DataFrame:
     return documents.join(has, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id", "text", "listed")
 
 
-def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``found``, an array of (start, end, type) in code points.
+def mentions(documents: DataFrame, names: DataFrame, with_text: bool = True) -> DataFrame:
+    """``doc_id``, ``text`` (if wanted) and ``found``, an array of (start, end, type) in code points.
 
     ``names`` (``name``, ``kind`` given or family) need not be complete: names that occur beside listed ones in the documents
     are added. The list may have any length: up to ``LISTED`` words it is sent to the workers, beyond that it is joined with the
@@ -525,7 +574,8 @@ def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
         lexicon = Lexicon.of([], [])
         read = _with_listed(documents, words)
     model = spark.sparkContext.broadcast((lexicon, tagger.weights, tagger.transitions))
-    schema = "doc_id bigint, text string, found array<struct<start:bigint,end:bigint,type:string>>"
+    columns = ["doc_id", "text"] if with_text else ["doc_id"]
+    schema = f"doc_id bigint, {'text string, ' if with_text else ''}found array<struct<start:bigint,end:bigint,type:string>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("type", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,14 +585,14 @@ def mentions(documents: DataFrame, names: DataFrame) -> DataFrame:
                 part = batch.slice(at, 500)
                 for own in part.column(2).to_pylist():
                     tagger.lexicon.add((w["word"], w["given"], w["family"]) for w in own or ())
-                split = [[(s, b, b.translate(_ZEROS)) for s, b in blocks(t)] if t else [] for t in part.column(1).to_pylist()]
+                split = [[(s, b, levelled(b)) for s, b in blocks(t)] if t else [] for t in part.column(1).to_pylist()]
                 if len(known) > KEPT:
                     known.clear()
                 # No feature looks at the value of a digit, so blocks that differ in those alone have the same result.
                 new = {key: b for bs in split for _, b, key in bs if key not in known}
                 known |= dict(zip(new, tagger.spans(list(new.values())), strict=True))
                 found = [[{"start": s + a, "end": s + e, "type": k} for s, _, key in bs for a, e, k in known[key]] for bs in split]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(found, kind)], names=["doc_id", "text", "found"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(found, kind)], names=[*columns, "found"])
 
     return read.mapInArrow(run, schema)
 

@@ -101,17 +101,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spread_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mixtargets"))[1]
 
 
-def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "namelist"))
+def _mentions(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    return mentions(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "namelist"), with_text)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _mentions(spark, sf_dir).select("doc_id", F.explode("found").alias("m"))
+    found = _mentions(spark, sf_dir, False).select("doc_id", F.explode("found").alias("m"))
     return found.select("doc_id", F.col("m.type").alias("pii_type"), F.col("m.start").alias("start_pos"))
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redact(_mentions(spark, sf_dir))
+    return redact(_mentions(spark, sf_dir, True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
