@@ -132,3 +132,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_redacted": p8_redacted,
 }
 ORACLES: dict[str, str] = {}
+#: What the benchmark runs.
+HEADLINE = ["p1_found", "p4_found", "p4_clean", "p5_found", "p6_found", "p7_mix", "p8_found"]
