@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 from pagemill.functions.markup import minify, serialize, to_markdown, to_text
-from pagemill.operators.cleaning import Policy, sanitize_tree
+from pagemill.operators.cleaning import READABLE, sanitize_tree
 from pagemill.operators.edit import minify_css
 from pagemill.sources.encodings import detect
 from pagemill.sources.tree import parse, parse_fragment
@@ -15,7 +15,7 @@ FORMS = {
     "markdown": lambda t: to_markdown(parse(t)),
     "html": lambda t: serialize(parse(t)),
     "minified": lambda t: minify(parse(t)),
-    "sanitized": lambda t: serialize(sanitize_tree(parse_fragment(t), Policy(), []), inner=True),
+    "sanitized": lambda t: serialize(sanitize_tree(parse_fragment(t), READABLE, []), inner=True),
     "css": minify_css,
 }
 

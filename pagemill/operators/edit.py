@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from pagemill.functions.markup import serialize
 from pagemill.operators.extract import LINKS, _join, base_of
-from pagemill.operators.selectors import CASELESS, Complex, SelectorError, Simple, parse_selector
+from pagemill.operators.selectors import CASELESS, CONTROLS, TEXTUAL, Complex, SelectorError, Simple, parse_selector
 from pagemill.sources.nodes import per_page
 from pagemill.sources.tree import Node, parse
 
@@ -67,8 +67,61 @@ def _simple(n: Node, s: Simple) -> bool:
     ends = {"first": family[0] is n, "last": family[-1] is n, "only": len(family) == 1}
     if (word := s.name.split("-")[0]) in ends:
         return ends[word]
-    if s.name in ("checked", "required", "disabled"):
-        return s.name in n.attrs or s.name == "checked" and "selected" in n.attrs
+    return _state(n, s)
+
+
+def _state(n: Node, s: Simple) -> bool:
+    """Pseudo-classes of forms, languages and definition; those of interaction match nothing."""
+    name, kind = s.name, n.attrs.get("type", "").lower()
+    field_ = n.tag in ("input", "select", "textarea")
+    if name == "checked":
+        return n.tag == "input" and kind in ("checkbox", "radio") and "checked" in n.attrs or n.tag == "option" and "selected" in n.attrs
+    if name == "required":
+        return field_ and "required" in n.attrs
+    if name == "optional":
+        return field_ and "required" not in n.attrs
+    if name in ("disabled", "enabled"):
+        return n.tag in CONTROLS and _disabled(n) == (name == "disabled")
+    if name in ("read-write", "read-only", "placeholder-shown"):
+        textual = n.tag == "textarea" or n.tag == "input" and kind in TEXTUAL
+        if name == "placeholder-shown":
+            return textual and "placeholder" in n.attrs and not n.attrs.get("value")
+        writable = textual and "readonly" not in n.attrs and "disabled" not in n.attrs or n.attrs.get("contenteditable", "no").lower() in ("", "true", "plaintext-only")
+        return writable == (name == "read-write")
+    if name == "indeterminate":
+        return n.tag == "progress" and "value" not in n.attrs
+    if name == "default":
+        if n.tag == "option" and "selected" in n.attrs or kind in ("checkbox", "radio") and "checked" in n.attrs:
+            return True
+        form = next((x for x in _before(n, " ") if x.tag == "form"), None)
+        first = next((x for x in form.elements() if _submits(x)), None) if form is not None else None
+        return first is n
+    if name == "defined":
+        return n.ns != "html" or "-" not in n.tag
+    if name == "scope":
+        return n.parent is not None and n.parent.kind == "document"
+    if name in ("lang", "dir"):
+        nearest = next((x.attrs[name].lower() for x in [n, *_before(n, " ")] if name in x.attrs), "ltr" if name == "dir" else "")
+        return nearest == s.value or name == "lang" and nearest.startswith(f"{s.value}-")
+    return False
+
+
+def _submits(n: Node) -> bool:
+    kind = n.attrs.get("type", "").lower()
+    return n.tag == "button" and kind in ("", "submit") or n.tag == "input" and kind in ("submit", "image")
+
+
+def _disabled(n: Node) -> bool:
+    """Whether a control is disabled itself or by a fieldset around it, the first legend of which is exempt."""
+    if "disabled" in n.attrs:
+        return True
+    below = n
+    for x in _before(n, " "):
+        if x.tag == "fieldset" and "disabled" in x.attrs:
+            legend = next((c for c in x.children if c.tag == "legend"), None)
+            if legend is None or legend is not below and not any(y is below for y in legend.elements()):
+                return True
+        below = x
     return False
 
 
@@ -85,7 +138,7 @@ def _before(n: Node, combinator: str) -> list[Node]:
 
 
 def matches(n: Node, selector: Complex, at: int | None = None) -> bool:
-    """Whether an element of a tree matches; selectors of interaction match nothing."""
+    """Whether an element of a tree matches."""
     at = len(selector.parts) - 1 if at is None else at
     combinator, compound = selector.parts[at]
     if not all(_simple(n, s) for s in compound):

@@ -41,6 +41,28 @@ def _join(base: str, link: str) -> str:
         return link
 
 
+_REFRESH = re.compile(r"\s*([0-9.]+)\s*(?:[;,]?\s*(?:url\s*=\s*)?(?:\"([^\"]*)\"?|'([^']*)'?|(\S.*)))?", re.I | re.S)
+
+
+def meta_refresh_of(n: Node) -> tuple[float, str] | None:
+    """Seconds and address of a ``meta`` element that refreshes the page."""
+    if n.tag != "meta" or n.attrs.get("http-equiv", "").strip().lower() != "refresh" or (m := _REFRESH.match(n.attrs.get("content", ""))) is None:
+        return None
+    seconds = re.match(r"\d*\.?\d*", m[1])[0]
+    return float(seconds) if seconds not in ("", ".") else 0.0, (m[2] or m[3] or m[4] or "").strip()
+
+
+def meta_refresh(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """``seconds`` and ``target`` (resolved; the page's own address if it names none) of pages that refresh themselves."""
+
+    def kernel(text: str | None, address: str | None) -> list[tuple]:
+        document = parse(text)
+        found = next((r for n in document.elements() if (r := meta_refresh_of(n))), None)
+        return [(found[0], _join(base_of(document, address), found[1]) if found[1] else address)] if found else []
+
+    return per_page(pages, kernel, "page_id bigint, seconds double, target string", [_D, _S], html, url, key=key)
+
+
 def links_of(document: Node, url: str | None) -> list[tuple]:
     base, out = base_of(document, url), []
     for n in document.elements():
@@ -51,6 +73,12 @@ def links_of(document: Node, url: str | None) -> list[tuple]:
             parts = [p.strip().split()[0] for p in re.split(r",\s+", value) if p.strip()] if name == "srcset" else [value.strip()]
             rel = n.attrs.get("rel", "").lower()
             out += [(len(out) + i, n.tag, name, p, _join(base, p), rel, " ".join(n.text().split())) for i, p in enumerate(parts, 1)]
+        for name, several in (("ping", True), ("archive", True), ("usemap", False), ("manifest", False), ("icon", False), ("codebase", False)):
+            if (value := n.attrs.get(name)) and (name != "icon" or n.tag in ("command", "menuitem")):
+                parts = value.replace(",", " ").split() if several else [value.strip()]
+                out += [(len(out) + i, n.tag, name, p, _join(base, p), "", "") for i, p in enumerate(parts, 1)]
+        if n.tag == "meta" and (refresh := meta_refresh_of(n)) and refresh[1]:
+            out.append((len(out) + 1, "meta", "content", refresh[1], _join(base, refresh[1]), "refresh", ""))
         css = n.attrs.get("style", "") if n.tag != "style" else n.text()
         for m in _CSS_URL.finditer(css):
             link = next(g for g in m.groups() if g is not None)
@@ -380,7 +408,7 @@ def feed_of(xml: str | None) -> list[tuple]:
         return next((c for w in wanted for c in e if _local(c) == w), None)
 
     def text(e: ET.Element | None) -> str | None:
-        return " ".join("".join(e.itertext()).split()) or None if e is not None else None
+        return re.sub(r"[ \t\n\f\r]+", " ", "".join(e.itertext())).strip(" ") or None if e is not None else None
 
     def link(e: ET.Element) -> str | None:
         if kind != "atom":

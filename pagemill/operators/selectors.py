@@ -455,7 +455,9 @@ class Plan:
                 F.col("page_id").alias("o_page"), F.col("pre").alias("o_pre"), F.col("last").alias("o_last"), F.lower(F.try_element_at("attrs", F.lit(s.name))).alias("_v")
             )
             on = (found["page_id"] == above["o_page"]) & found["pre"].between(above["o_pre"], above["o_last"])
-            nearest = found.join(above, on).groupBy("page_id", "pre").agg(F.max_by("_v", "o_pre").alias("_v"))
+            nearest = found.join(above, on, "left").groupBy("page_id", "pre").agg(F.max_by("_v", "o_pre").alias("_v"))
+            if s.name == "dir":  # a page runs from left to right unless it says otherwise
+                nearest = nearest.fillna("ltr", ["_v"])
             test = (F.col("_v") == s.value) | F.col("_v").startswith(s.value + "-") if s.name == "lang" else F.col("_v") == s.value
             return found.join(nearest.filter(test).select(*keys), keys, "left_semi")
         raise SelectorError(f"unknown pseudo-class {s.name}")

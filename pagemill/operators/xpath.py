@@ -6,6 +6,7 @@ a shuffle. For plain structural steps over a materialised node table see :func:`
 
 from __future__ import annotations
 
+import datetime
 import math
 import re
 from collections.abc import Callable
@@ -31,6 +32,17 @@ class Attribute:
         self.kind, self.parent, self.tag, self.data, self.ns = "attribute", owner, name, owner.attrs[name], ""
 
 
+class Namespace:
+    """A namespace in scope of an element as a node."""
+
+    __slots__ = ("data", "kind", "ns", "parent", "tag")
+
+    def __init__(self, owner: Node, prefix: str, uri: str) -> None:
+        self.kind, self.parent, self.tag, self.data, self.ns = "namespace", owner, prefix, uri, ""
+
+
+# Namespaces of the trees of pages.
+URIS = {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/2000/svg", "math": "http://www.w3.org/1998/Math/MathML"}
 AXES = (
     "ancestor", "ancestor-or-self", "attribute", "child", "descendant", "descendant-or-self", "following", "following-sibling",
     "namespace", "parent", "preceding", "preceding-sibling", "self",
@@ -219,7 +231,7 @@ class Parser:
 
 
 def string_of(node: Node | Attribute) -> str:
-    return node.data if node.kind in ("attribute", "text", "comment") else node.text()
+    return node.data if node.kind in ("attribute", "text", "comment", "namespace", "processing-instruction") else node.text()
 
 
 def to_string(value: object) -> str:
@@ -270,7 +282,22 @@ class Page:
             self.attributes[key] = Attribute(owner, name)
         return self.attributes[key]
 
+    def namespaces(self, node: Node) -> list[Namespace]:
+        """The namespaces in scope of an element: those declared on it or above, its own, and that of ``xml``."""
+        key = (id(node), "namespaces")
+        if key not in self.attributes:
+            found = {"xml": "http://www.w3.org/XML/1998/namespace"}
+            for n in reversed([node, *self.walk_axis(node, "ancestor")]):
+                declared = {k[6:]: v for k, v in n.attrs.items() if k == "xmlns" or k.startswith("xmlns:")} if n.kind == "element" else {}
+                found |= declared
+            if node.ns in URIS:
+                found.setdefault("", URIS[node.ns])
+            self.attributes[key] = [Namespace(node, prefix, uri) for prefix, uri in sorted(found.items()) if uri]
+        return self.attributes[key]
+
     def key(self, node: Node | Attribute) -> tuple[int, int]:
+        if node.kind == "namespace":
+            return self.order[id(node.parent)], 0
         if node.kind == "attribute":
             return self.order[id(node.parent)], 1 + list(node.parent.attrs).index(node.tag)
         return self.order[id(node)], 0
@@ -290,7 +317,7 @@ class Page:
                 node = node.parent
                 out.append(node)
             return out
-        if node.kind == "attribute":
+        if node.kind in ("attribute", "namespace"):
             if axis in ("following", "preceding"):
                 node = node.parent
             else:
@@ -301,7 +328,9 @@ class Page:
             found = list(node.walk())
             return found if axis == "descendant-or-self" else found[1:]
         if axis == "attribute":
-            return [self.attribute(node, k) for k in node.attrs] if node.kind == "element" else []
+            return [self.attribute(node, k) for k in node.attrs if k != "xmlns" and not k.startswith("xmlns:") or node.ns == HTML] if node.kind == "element" else []
+        if axis == "namespace":
+            return self.namespaces(node) if node.kind == "element" else []
         if axis in ("following-sibling", "preceding-sibling"):
             if node.parent is None:
                 return []
@@ -322,7 +351,7 @@ class Page:
             return True
         if test[0] != "name":
             return node.kind == test[0]
-        if node.kind != ("attribute" if axis == "attribute" else "element"):
+        if node.kind != (axis if axis in ("attribute", "namespace") else "element"):
             return False
         name = test[1]
         if name == "*":
@@ -502,9 +531,27 @@ _function("string", 0, 1)(lambda page, node, position, size, args: _text(node, a
 _function("string-length", 0, 1)(lambda page, node, position, size, args: float(len(_text(node, args))))
 _function("normalize-space", 0, 1)(lambda page, node, position, size, args: " ".join(re.findall(r"[^ \t\r\n]+", _text(node, args))))
 _function("number", 0, 1)(lambda page, node, position, size, args: to_number(args[0] if args else [node]))
-for _name in ("name", "local-name"):
-    _function(_name, 0, 1)(lambda page, node, position, size, args: (args[0][0].tag if args[0] else "") if args else node.tag)
-_function("namespace-uri", 0, 1)(lambda page, node, position, size, args: {"html": "http://www.w3.org/1999/xhtml", "svg": "http://www.w3.org/2000/svg", "math": "http://www.w3.org/1998/Math/MathML"}.get((args[0][0] if args else node).ns, "") if not args or args[0] else "")
+_function("name", 0, 1)(lambda page, node, position, size, args: (args[0][0].tag if args[0] else "") if args else node.tag)
+
+
+def _namespace_uri(page: Page, node: Node, position: int, size: int, args: list) -> str:
+    if args and not args[0]:
+        return ""
+    n = args[0][0] if args else node
+    if n.kind == "element" and n.ns not in URIS:
+        prefix = n.tag.rpartition(":")[0]
+        return next((x.data for x in page.namespaces(n) if x.tag == prefix), "")
+    return URIS.get(n.ns, "")
+
+
+def _local_name(page: Page, node: Node, position: int, size: int, args: list) -> str:
+    if args and not args[0]:
+        return ""
+    return (args[0][0] if args else node).tag.rpartition(":")[2]
+
+
+_function("namespace-uri", 0, 1)(_namespace_uri)
+_function("local-name", 0, 1)(_local_name)
 _simple("count", 1, 1, lambda nodes: float(len(nodes)))
 _simple("sum", 1, 1, lambda nodes: float(sum(to_number(string_of(n)) for n in nodes)))
 _simple("concat", 2, None, lambda *a: "".join(map(to_string, a)))
@@ -540,9 +587,9 @@ _simple("math:log", 1, 1, lambda a: math.log(to_number(a)) if to_number(a) > 0 e
 _simple("math:highest", 1, 1, lambda nodes: [n for n in nodes if to_number(string_of(n)) == max(to_number(string_of(x)) for x in nodes)])
 _simple("math:lowest", 1, 1, lambda nodes: [n for n in nodes if to_number(string_of(n)) == min(to_number(string_of(x)) for x in nodes)])
 _simple("set:distinct", 1, 1, lambda nodes: list({string_of(n): n for n in reversed(nodes)}.values())[::-1])
-_simple("set:intersection", 2, 2, lambda a, b: [n for n in a if any(n is x for x in b)])
-_simple("set:difference", 2, 2, lambda a, b: [n for n in a if not any(n is x for x in b)])
-_simple("set:has-same-node", 2, 2, lambda a, b: any(n is x for n in a for x in b))
+_simple("set:intersection", 2, 2, lambda a, b: (ids := set(map(id, b))) and [n for n in a if id(n) in ids] or [])
+_simple("set:difference", 2, 2, lambda a, b: [n for n in a if id(n) not in ids] if (ids := set(map(id, b))) else a)
+_simple("set:has-same-node", 2, 2, lambda a, b: not set(map(id, a)).isdisjoint(map(id, b)))
 _function("set:leading", 2, 2)(lambda page, node, position, size, args: [n for n in args[0] if page.key(n) < page.key(args[1][0])] if args[1] else args[0])
 _function("set:trailing", 2, 2)(lambda page, node, position, size, args: [n for n in args[0] if page.key(n) > page.key(args[1][0])] if args[1] else args[0])
 _simple("str:concat", 1, 1, lambda nodes: "".join(map(string_of, nodes)))
@@ -550,6 +597,39 @@ _simple("str:padding", 1, 2, lambda n, c=" ": (to_string(c) * (int(to_number(n))
 _simple("str:replace", 3, 3, lambda a, b, c: to_string(a).replace(to_string(b), to_string(c)))
 _simple("str:align", 2, 3, lambda a, b, how="left": {"left": str.ljust, "right": str.rjust, "center": str.center}[to_string(how)](to_string(a), len(to_string(b)))[: len(to_string(b))])
 
+_DATE = re.compile(r"\s*(-?\d{4,})(?:-(\d\d)(?:-(\d\d))?)?(?:T\d\d:\d\d:\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:\d\d)?\s*")
+
+
+def _date(part: int) -> Callable:
+    """The year, month or day of an ISO date (today without argument); not a number if the value has none."""
+
+    def of(value: object = None) -> float:
+        text = datetime.date.today().isoformat() if value is None else to_string(value)
+        m = _DATE.fullmatch(text)
+        return float(m[part]) if m and m[part] else math.nan
+
+    return of
+
+
+def _weekday(value: object = None) -> float:
+    """1 for Sunday to 7 for Saturday."""
+    year, month, day = (_date(i)(value) for i in (1, 2, 3))
+    try:
+        return float(datetime.date(int(year), int(month), int(day)).isoweekday() % 7 + 1)
+    except ValueError:
+        return math.nan
+
+
+def _leap(value: object = None) -> bool | float:
+    year = _date(1)(value)
+    return math.nan if math.isnan(year) else year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+
+
+for _name, _part in (("year", 1), ("month-in-year", 2), ("day-in-month", 3)):
+    _simple(f"date:{_name}", 0, 1, _date(_part))
+_simple("date:day-in-week", 0, 1, _weekday)
+_simple("date:leap-year", 0, 1, _leap)
+
 RESULT = "page_id bigint, pos int, kind string, pre int, tag string, value string"
 _TYPES = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
 

@@ -41,7 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_normalized": p3_normalized,
 }
 
-_URL = """
+URL = """
     CASE WHEN regexp_matches({0}, '^[hH][tT][tT][pP][sS]?://[^/?#]+') THEN
       'https://' || regexp_replace(regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#]*)', 1)), ':(80|443)?$', ''), '^www[.]', '')
       || regexp_replace(replace(regexp_extract({0}, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '%2D', '-'), '/+$', '')
@@ -50,18 +50,18 @@ _URL = """
     ELSE {0} END"""
 _RAW = "nullif(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '')"
 _BARE_ID = "replace(regexp_replace(regexp_replace(lower(i), '^(urn:)?(uuid:)?[{]?', ''), '[}]$', ''), '-', '')"
-_KEYED = f"""
+KEYED = f"""
 WITH raw AS (SELECT row_id, feed_id, received_at, {_RAW.format("id")} AS i, {_RAW.format("link")} AS l FROM entries),
 keyed AS (SELECT row_id, feed_id, received_at,
-  CASE WHEN i IS NULL THEN NULL WHEN regexp_full_match({_BARE_ID}, '[0-9a-f]{{32}}') THEN 'uuid:' || {_BARE_ID} ELSE {_URL.format("i")} END AS i,
-  {_URL.format("l")} AS l FROM raw)"""
+  CASE WHEN i IS NULL THEN NULL WHEN regexp_full_match({_BARE_ID}, '[0-9a-f]{{32}}') THEN 'uuid:' || {_BARE_ID} ELSE {URL.format("i")} END AS i,
+  {URL.format("l")} AS l FROM raw)"""
 ORACLES: dict[str, str] = {
-    "p2_found": _KEYED
+    "p2_found": KEYED
     + """
 SELECT least(a.row_id, b.row_id) AS row_a, greatest(a.row_id, b.row_id) AS row_b FROM keyed a JOIN keyed b ON a.feed_id = b.feed_id AND a.i = b.i AND a.row_id < b.row_id
 UNION
 SELECT least(a.row_id, b.row_id), greatest(a.row_id, b.row_id) FROM keyed a JOIN keyed b ON a.feed_id = b.feed_id AND a.l = b.l AND a.row_id <> b.row_id WHERE a.i IS NULL""",
-    "p2_items": _KEYED
+    "p2_items": KEYED
     + """,
 known AS (SELECT feed_id, l, min(i) AS by_link FROM keyed WHERE i IS NOT NULL AND l IS NOT NULL GROUP BY feed_id, l),
 items AS (SELECT k.row_id, k.received_at, coalesce(CAST(k.feed_id AS VARCHAR), '')

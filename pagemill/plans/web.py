@@ -13,13 +13,13 @@ from pagemill.functions.languages import detect_language, profiles
 from pagemill.functions.markup import collapse_space, escape
 from pagemill.functions.urls import clean_url, registrable_domain, url_parts
 from pagemill.operators import extract
-from pagemill.operators.cleaning import linkify, render, sanitize
+from pagemill.operators.cleaning import READABLE, linkify, render, sanitize
 from pagemill.operators.conformance import conformance, events, find
 from pagemill.operators.edit import annotated_text, normalize, rewrite, select_many
 from pagemill.operators.selectors import axis, closest, select
-from pagemill.operators.styles import computed_styles
 from pagemill.operators.xpath import xpath
 from pagemill.operators.xslt import transform
+from pagemill.plans.delivery import KEYED, URL
 from pagemill.session import materialize, spread_table, table
 from pagemill.sources.encodings import decode
 from pagemill.sources.nodes import parse_nodes, text_of, tokenize
@@ -94,16 +94,6 @@ def select_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(parse_nodes(_pages(spark, sf_dir)), "html[lang]").select("page_id", F.try_element_at("attrs", F.lit("lang")).alias("lang"))
 
 
-@_query("select_nth")
-def select_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(parse_nodes(_pages(spark, sf_dir)), "p:nth-of-type(2n+1):not(:last-of-type)").select("page_id", "pre", "type_idx")
-
-
-@_query("select_siblings")
-def select_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(_nodes(spark, sf_dir), "h1 + p, h2 ~ p:nth-child(odd of p)").select("page_id", "pre")
-
-
 @_query("axis_ancestors")
 def axis_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _nodes(spark, sf_dir)
@@ -136,13 +126,6 @@ def xpath_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xpath(_pages(spark, sf_dir), "//p[string-length(normalize-space()) > 100][position() < 3] | //h1[following-sibling::p]")
 
 
-@_query("xpath_longest", "SELECT row_id AS page_id, CAST(list_max(list_transform(regexp_extract_all(content, '<p>([^<]*)</p>', 1), lambda x: length(x))) AS VARCHAR) AS value FROM entries WHERE content LIKE '<p>%' AND content NOT LIKE '%&%'")
-def xpath_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _contents(spark, sf_dir).filter("html LIKE '<p>%' AND html NOT LIKE '%&%'")
-    found = xpath(kept, "//p").groupBy("page_id").agg(F.max(F.length("value")).cast("string").alias("value"))
-    return found
-
-
 @_query("extract_links")
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.links(_summaries(spark, sf_dir))
@@ -179,42 +162,16 @@ def extract_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.dates(_pages(spark, sf_dir))
 
 
-@_query("extract_forms")
-def extract_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.form_data(_pages(spark, sf_dir))
-
-
-@_query("feed_entries", "SELECT row_id AS page_id, title FROM entries WHERE title IS NOT NULL AND regexp_matches(title, '^[A-Za-z0-9 ]+$')")
-def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feed documents built from the entries, read back by the feed operator."""
-    rows = table(spark, sf_dir, "entries").filter("title RLIKE '^[A-Za-z0-9 ]+$'")
-    item = F.concat(F.lit("<rss version='2.0'><channel><title>t</title><item><title>"), escape(F.col("title")), F.lit("</title></item></channel></rss>"))
-    return extract.feed(rows.select(F.col("row_id").alias("page_id"), item.alias("xml"))).select("page_id", "title")
-
-
 @_query("render_text")
 def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(_pages(spark, sf_dir), "text")
 
 
-@_query("render_markdown", "SELECT row_id AS page_id, array_to_string(regexp_extract_all(content, '<p>([^<]*)</p>', 1), chr(10) || chr(10)) AS rendered FROM entries WHERE regexp_full_match(content, '(<p>[^<>&*_`\\[\\]\\\\]*</p>)+') AND NOT regexp_matches(content, '  |\\n|> | <|[\\x00-\\x1f\\x80-\\x9f\\xa0]')")
-def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = r"^(?:<p>[^<>&*_`\[\]\\]*</p>)+$"
-    kept = _contents(spark, sf_dir).filter(F.col("html").rlike(plain) & ~F.col("html").rlike("  |\n|> | <|[\\x00-\\x1f\\x80-\\x9f\\xa0]"))
-    return render(kept, "markdown")
-
-
 @_query("render_minified")
 def render_minified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(_pages(spark, sf_dir), "minified")
 
 
-@_query("sanitize_pages", "SELECT row_id AS page_id, content AS clean FROM entries WHERE regexp_full_match(content, '(<p>[^<>&]*</p>)+') AND NOT contains(content, chr(160))")
-def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _contents(spark, sf_dir).filter(F.col("html").rlike("^(?:<p>[^<>&]*</p>)+$") & ~F.col("html").contains(" "))
-    return sanitize(kept).select("page_id", "clean")
-
-
 @_query("linkify_documents")
 def linkify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -255,12 +212,12 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entries").filter("link IS NOT NULL").select("row_id", canonical_url(F.col("link")).alias("url"))
 
 
-@_query("url_clean")
+@_query("url_clean", f"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN {URL.format('url')} END AS url FROM pages")
 def url_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", clean_url(F.col("url")).alias("url"))
 
 
-@_query("id_canonical")
+@_query("id_canonical", KEYED + " SELECT row_id, i AS id FROM keyed")
 def id_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "entries").select("row_id", canonical_id(F.col("id")).alias("id"))
 
@@ -271,18 +228,6 @@ def decode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(raw, "content").select("page_id", "html", "encoding")
 
 
-@_query("find_text", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>[^<]*(lantern|Laterne)[^<]*</p>')) AS BIGINT) AS n FROM pages WHERE regexp_matches(html, '<p>[^<]*(lantern|Laterne)[^<]*</p>') AND html LIKE '%</html>%'")
-def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = materialize(parse_nodes(_pages(spark, sf_dir).filter("html LIKE '%</html>%'")), "nodes")
-    return find(nodes, tag="p", text="lantern|Laterne", within="body").groupBy("page_id").agg(F.count("*").alias("n"))
-
-
-@_query("walk_events", "SELECT page_id, CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[^<>]*>')) AS BIGINT) AS n FROM pages WHERE html LIKE '%</html>%'")
-def walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = _pages(spark, sf_dir).filter("html LIKE '%</html>%'")
-    return events(parse_nodes(whole)).filter("kind = 'start'").groupBy("page_id").agg(F.count("*").alias("n"))
-
-
 @_query("conformance_messages")
 def conformance_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformance(_nodes(spark, sf_dir))
@@ -299,12 +244,6 @@ def select_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("page_id", "name").agg(F.count("*").alias("n"))
 
 
-@_query("rewrite_pages", "SELECT row_id AS page_id, '<html><head></head><body>' || replace(replace(content, '<p>', '<div>'), '</p>', '</div>') || '</body></html>' AS rewritten FROM entries WHERE regexp_full_match(content, '(<p>[^<>&]*</p>)+') AND NOT contains(content, chr(160))")
-def rewrite_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _contents(spark, sf_dir).filter(F.col("html").rlike("^(?:<p>[^<>&]*</p>)+$") & ~F.col("html").contains("\u00a0"))
-    return rewrite(kept, [("rename", "p", "div"), ("comments",)])
-
-
 @_query("annotate_pages")
 def annotate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotated_text(_pages(spark, sf_dir), {"heading": "h1, h2", "paragraph": "p"}).select("page_id", F.length("text").alias("length"), F.size("spans").alias("spans"))
@@ -324,12 +263,6 @@ def normalize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(table(spark, sf_dir, "entries").select("row_id", "title"), "title")
 
 
-@_query("computed_styles")
-def styles_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = computed_styles(_summaries(spark, sf_dir))
-    return found.select("page_id", "element_no", "tag", F.array_join(F.array_sort(F.transform(F.map_entries("style"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), ";").alias("style"))
-
-
 @_query("detect_languages")
 def detect_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spread_table(spark, sf_dir, "paragraphs").select("para_id", "text")
@@ -342,42 +275,54 @@ def _every(spark: SparkSession, sf_dir: str, operator: Callable[[DataFrame], Dat
     return reduce(DataFrame.unionByName, [operator(rows(spark, sf_dir)).withColumn("source", F.lit(name)) for name, rows in sources.items()])
 
 
-# The queries above of like names keep to the rows that their SQL can follow; these have all rows and no SQL.
-@_query("sanitize_every")
-def sanitize_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _every(spark, sf_dir, lambda rows: sanitize(rows).select("page_id", "clean"))
+@_query("sanitize_pages")
+def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir, lambda rows: sanitize(rows, READABLE).select("page_id", "clean"))
+
+
+@_query("sanitize_contents", "SELECT row_id AS page_id, coalesce(content, '') AS clean FROM entries")
+def sanitize_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents are clean by nature, so every one of them must come back as it is."""
+    return sanitize(_contents(spark, sf_dir), READABLE).select("page_id", "clean")
 
 
-@_query("rewrite_every")
-def rewrite_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("rewrite_pages")
+def rewrite_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _every(spark, sf_dir, lambda rows: rewrite(rows, [("rename", "p", "div"), ("comments",)]))
 
 
-@_query("markdown_every")
-def markdown_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("render_markdown")
+def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _every(spark, sf_dir, lambda rows: render(rows, "markdown"))
 
 
-@_query("xpath_longest_every")
-def xpath_longest_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("xpath_longest")
+def xpath_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _every(spark, sf_dir, lambda rows: xpath(rows, "//p").groupBy("page_id").agg(F.max(F.length("value")).cast("string").alias("value")))
 
 
-@_query("feed_entries_every")
-def feed_entries_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of any kind through feed documents; a null title is an item without one."""
-    title = F.coalesce(F.concat(F.lit("<title>"), escape(F.col("title")), F.lit("</title>")), F.lit(""))
-    item = F.concat(F.lit("<rss version='2.0'><channel><title>t</title><item>"), title, F.lit("</item></channel></rss>"))
-    rows = table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), item.alias("xml"))
-    return extract.feed(rows).select("page_id", "title")
+_ONE_LINE = "nullif(trim(regexp_replace({0}, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' '), '')"
+
+
+@_query(
+    "feed_entries",
+    "SELECT row_id AS page_id, 'rss' AS type, 'All' AS feed_title, " + ", ".join(f"{_ONE_LINE.format(c)} AS {c}" for c in ("title", "link", "id", "published", "summary", "author")) + ", nullif(content, '') AS content FROM entries",
+)
+def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry as an item of a feed document, with the fields that it has, read back by the feed operator."""
+    fields = {"title": "title", "link": "link", "guid": "id", "pubDate": "published", "description": "summary", "author": "author", "content:encoded": "content"}
+    parts = [F.coalesce(F.concat(F.lit(f"<{tag}>"), escape(F.col(c)), F.lit(f"</{tag}>")), F.lit("")) for tag, c in fields.items()]
+    xml = F.concat(F.lit("<rss version='2.0' xmlns:content='http://purl.org/rss/1.0/modules/content/'><channel><title>All</title><item>"), *parts, F.lit("</item></channel></rss>"))
+    rows = spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), xml.alias("xml"))
+    return extract.feed(rows).select("page_id", "type", "feed_title", "title", "link", "id", "published", "summary", "author", "content")
 
 
-@_query("find_text_every")
-def find_text_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("find_text")
+def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_nodes(spark, sf_dir), tag="p", text="lantern|Laterne", within="body").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@_query("walk_events_every")
-def walk_events_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("walk_events", "SELECT page_id, CASE WHEN html IS NULL THEN 3 ELSE CAST(len(regexp_extract_all(html, '<[a-z][a-z0-9]*[^<>]*>')) AS BIGINT) END AS n FROM pages")
+def walk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and unfinished pages have the elements that tree construction gives them."""
     return events(parse_nodes(_pages(spark, sf_dir))).filter("kind = 'start'").groupBy("page_id").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ HTML, SVG, MATH = "html", "svg", "math"
 class Node:
     """One node; ``kind`` is document, element, text, comment or doctype."""
 
-    __slots__ = ("attrs", "children", "content", "data", "implied", "kind", "ns", "parent", "tag")
+    __slots__ = ("attrs", "children", "content", "data", "end", "implied", "kind", "ns", "parent", "start", "tag")
 
     def __init__(self, kind: str, tag: str = "", ns: str = HTML, attrs: dict[str, str] | None = None, data: str = "") -> None:
         self.kind, self.tag, self.ns, self.data = kind, tag, ns, data
@@ -21,6 +21,8 @@ class Node:
         self.parent: Node | None = None
         self.implied = False
         self.content: Node | None = None  # of a template
+        self.start: tuple[int, int] | None = None  # where its start tag, or the node itself, stands in the source (line ends as \n)
+        self.end: tuple[int, int] | None = None  # where its end tag stands
 
     def append(self, child: Node) -> None:
         child.remove()
@@ -102,11 +104,68 @@ SVG_ATTRS = {
         "surfaceScale systemLanguage tableValues targetX targetY textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan"
     ).split()
 }
-QUIRKY_PUBLIC = re.compile(
-    r"^(?:\+//silmaril//|-//as//dtd html 3|-//advasoft ltd//|-//ietf//dtd html|-//metrius//|-//microsoft//dtd internet explorer "
-    r"[23]|-//netscape comm|-//o'reilly|-//softquad|-//spyglass|-//sq//dtd|-//sun microsystems|-//w3c//dtd html (?:3|4\.0 (?:frameset|"
-    r"transitional)|experimental)|-//w3c//dtd w3 html|-//w3o//dtd w3 html 3|-//webtechs|-/w3c/dtd html 4\.0|html$|-//w3c//dtd html 4\.01 (?:frameset|transitional)//)"
+# Public identifiers of doctypes that put a page into quirks mode, by their beginnings (lower case).
+QUIRKY_PUBLIC = (
+    "+//silmaril//dtd html pro v0r11 19970101//",
+    "-//as//dtd html 3.0 aswedit + extensions//",
+    "-//advasoft ltd//dtd html 3.0 aswedit + extensions//",
+    "-//ietf//dtd html 2.0 level 1//",
+    "-//ietf//dtd html 2.0 level 2//",
+    "-//ietf//dtd html 2.0 strict level 1//",
+    "-//ietf//dtd html 2.0 strict level 2//",
+    "-//ietf//dtd html 2.0 strict//",
+    "-//ietf//dtd html 2.0//",
+    "-//ietf//dtd html 2.1e//",
+    "-//ietf//dtd html 3.0//",
+    "-//ietf//dtd html 3.2 final//",
+    "-//ietf//dtd html 3.2//",
+    "-//ietf//dtd html 3//",
+    "-//ietf//dtd html level 0//",
+    "-//ietf//dtd html level 1//",
+    "-//ietf//dtd html level 2//",
+    "-//ietf//dtd html level 3//",
+    "-//ietf//dtd html strict level 0//",
+    "-//ietf//dtd html strict level 1//",
+    "-//ietf//dtd html strict level 2//",
+    "-//ietf//dtd html strict level 3//",
+    "-//ietf//dtd html strict//",
+    "-//ietf//dtd html//",
+    "-//metrius//dtd metrius presentational//",
+    "-//microsoft//dtd internet explorer 2.0 html strict//",
+    "-//microsoft//dtd internet explorer 2.0 html//",
+    "-//microsoft//dtd internet explorer 2.0 tables//",
+    "-//microsoft//dtd internet explorer 3.0 html strict//",
+    "-//microsoft//dtd internet explorer 3.0 html//",
+    "-//microsoft//dtd internet explorer 3.0 tables//",
+    "-//netscape comm. corp.//dtd html//",
+    "-//netscape comm. corp.//dtd strict html//",
+    "-//o'reilly and associates//dtd html 2.0//",
+    "-//o'reilly and associates//dtd html extended 1.0//",
+    "-//o'reilly and associates//dtd html extended relaxed 1.0//",
+    "-//sq//dtd html 2.0 hotmetal + extensions//",
+    "-//softquad software//dtd hotmetal pro 6.0::19990601::extensions to html 4.0//",
+    "-//softquad//dtd hotmetal pro 4.0::19971010::extensions to html 4.0//",
+    "-//spyglass//dtd html 2.0 extended//",
+    "-//sun microsystems corp.//dtd hotjava html//",
+    "-//sun microsystems corp.//dtd hotjava strict html//",
+    "-//w3c//dtd html 3 1995-03-24//",
+    "-//w3c//dtd html 3.2 draft//",
+    "-//w3c//dtd html 3.2 final//",
+    "-//w3c//dtd html 3.2//",
+    "-//w3c//dtd html 3.2s draft//",
+    "-//w3c//dtd html 4.0 frameset//",
+    "-//w3c//dtd html 4.0 transitional//",
+    "-//w3c//dtd html experimental 19960712//",
+    "-//w3c//dtd html experimental 970421//",
+    "-//w3c//dtd w3 html//",
+    "-//w3o//dtd w3 html 3.0//",
+    "-//webtechs//dtd mozilla html 2.0//",
+    "-//webtechs//dtd mozilla html//",
 )
+# The same, whole; the same, where there is no system identifier; and a system identifier.
+QUIRKY_WHOLE = ("-//w3o//dtd w3 html strict 3.0//en//", "-/w3c/dtd html 4.0 transitional/en", "html")
+QUIRKY_ALONE = ("-//w3c//dtd html 4.01 frameset//", "-//w3c//dtd html 4.01 transitional//")
+QUIRKY_SYSTEM = "http://www.ibm.com/data/dtd/v11/ibmxhtml1-transitional.dtd"
 
 
 class Builder:
@@ -127,6 +186,8 @@ class Builder:
         self.pending: list[str] = []
         self.skip_newline = False
         self.framesets = True
+        self.span: tuple[int, int] | None = None
+        self.stray: list[tuple[str, tuple[int, int]]] = []  # end tags that close nothing
         self.context: Node | None = None
         if fragment is not None:
             self.context = Node("element", fragment)
@@ -141,11 +202,26 @@ class Builder:
 
     def run(self) -> Node:
         for token in self.tokens:
-            self.handle(token)
+            self.span = (token.at, self.tokens.at)
+            if token.kind == "end":
+                self.end_tag(token)
+            else:
+                self.handle(token)
             self.tokens.foreign = bool(self.open) and self.current().ns != HTML
         self.handle(Token("eof", at=len(self.tokens.text)))
         return self.document
 
+    def end_tag(self, t: Token) -> None:
+        """Handle an end tag and note it at the element that it closes."""
+        span = self.span
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag.lower() == t.data), -1)
+        wanted = self.open[at] if at >= 0 else None
+        self.handle(t)
+        if wanted is not None and (len(self.open) <= at or self.open[at] is not wanted):
+            wanted.end = span
+        elif wanted is None:
+            self.stray.append((t.data, span))
+
     # -- helpers ---------------------------------------------------------------------------------------------------
 
     def current(self) -> Node:
@@ -212,10 +288,13 @@ class Builder:
         if at and parent.children[at - 1].kind == "text":
             parent.children[at - 1].data += data
         else:
-            parent.insert(at, Node("text", data=data))
+            node = Node("text", data=data)
+            node.start = self.span
+            parent.insert(at, node)
 
     def put_comment(self, t: Token, parent: Node | None = None) -> None:
         node = Node("comment", data=t.data)
+        node.start = self.span
         if parent is not None:
             parent.append(node)
         else:
@@ -225,6 +304,7 @@ class Builder:
     def put(self, t: Token, ns: str = HTML, implied: bool = False) -> Node:
         node = Node("element", t.data, ns, dict(t.attrs))
         node.implied = implied
+        node.start = None if implied else self.span
         if t.data == "template" and ns == HTML:
             node.content = Node("content")
             node.content.parent = None
@@ -428,8 +508,9 @@ class Builder:
             node.attrs = {"public": t.public or "", "system": t.system or ""}
             self.document.append(node)
             public = (t.public or "").lower()
-            loose = public.startswith(("-//w3c//dtd html 4.01 frameset//", "-//w3c//dtd html 4.01 transitional//"))
-            self.quirks = t.quirks or t.data != "html" or bool(public and QUIRKY_PUBLIC.match(public) and (not loose or t.system is None))
+            alone = public.startswith(QUIRKY_ALONE) and t.system is None
+            old = public.startswith(QUIRKY_PUBLIC) or public in QUIRKY_WHOLE or (t.system or "").lower() == QUIRKY_SYSTEM
+            self.quirks = t.quirks or t.data != "html" or old or alone
             self.mode = self.before_html
             return None
         else:

@@ -126,30 +126,31 @@ def marked_up(spark, tmp_path_factory):
     html = ["<html><body><p>a lantern<p>b &amp; <b>c</b><script>x</script></body></html>", "<h1>cut <p>off lantern", None]
     spark.createDataFrame([(i, h, None) for i, h in enumerate(html)], "page_id bigint, html string, url string").write.parquet(f"{folder}/pages.parquet")
     rows = [(0, "A & B <i>", "<p>plain</p>", "<ul><li>x &lt; y</ul>", None), (1, "«Ж»", None, "<!-- c --><p onclick=x>q</p>", None), (2, None, "<p>r <a href='javascript:x'>s</a></p>", None, None)]
-    spark.createDataFrame(rows, "row_id bigint, title string, content string, summary string, link string").write.parquet(f"{folder}/entries.parquet")
+    entries = spark.createDataFrame(rows, "row_id bigint, title string, content string, summary string, link string")
+    entries.selectExpr("*", "'i' AS id", "'1' AS published", "'n' AS author").write.parquet(f"{folder}/entries.parquet")
     texts = {("pages", i): h for i, h in enumerate(html)} | {("contents", r[0]): r[2] for r in rows} | {("summaries", r[0]): r[3] for r in rows}
     return folder, texts, {r[0]: r[1] for r in rows}
 
 
 def test_queries_over_all_rows(spark, marked_up):
     from pagemill.functions.markup import serialize, to_markdown
-    from pagemill.operators.cleaning import Policy, parse_fragment, sanitize_tree
+    from pagemill.operators.cleaning import READABLE, parse_fragment, sanitize_tree
     from pagemill.plans.web import QUERIES
     from pagemill.sources.tree import parse
 
     folder, texts, titles = marked_up
     got = lambda name, column: {(r["source"], r["page_id"]): r[column] for r in QUERIES[name](spark, folder).collect()}
-    assert got("sanitize_every", "clean") == {k: serialize(sanitize_tree(parse_fragment(t), Policy(), []), inner=True) for k, t in texts.items()}
-    assert got("markdown_every", "rendered") == {k: to_markdown(parse(t), None) for k, t in texts.items()}
-    rewritten = got("rewrite_every", "rewritten")
+    assert got("sanitize_pages", "clean") == {k: serialize(sanitize_tree(parse_fragment(t), READABLE, []), inner=True) for k, t in texts.items()}
+    assert got("render_markdown", "rendered") == {k: to_markdown(parse(t), None) for k, t in texts.items()}
+    rewritten = got("rewrite_pages", "rewritten")
     assert rewritten.keys() == texts.keys() and rewritten["summaries", 1] == '<html><head></head><body><div onclick="x">q</div></body></html>'
-    assert got("xpath_longest_every", "value") == {("pages", 0): "9", ("pages", 1): "11", ("contents", 0): "5", ("contents", 2): "3", ("summaries", 1): "1"}
-    assert {r["page_id"]: r["title"] for r in QUERIES["feed_entries_every"](spark, folder).collect()} == titles
+    assert got("xpath_longest", "value") == {("pages", 0): "9", ("pages", 1): "11", ("contents", 0): "5", ("contents", 2): "3", ("summaries", 1): "1"}
+    assert {r["page_id"]: r["title"] for r in QUERIES["feed_entries"](spark, folder).collect()} == titles
 
 
 def test_unfinished_pages(spark, marked_up):
     from pagemill.plans.web import QUERIES
 
     got = lambda name: {r["page_id"]: r["n"] for r in QUERIES[name](spark, marked_up[0]).collect()}
-    assert got("find_text_every") == {0: 1, 1: 1}
-    assert got("walk_events_every") == {0: 7, 1: 5, 2: 3}
+    assert got("find_text") == {0: 1, 1: 1}
+    assert got("walk_events") == {0: 7, 1: 5, 2: 3}

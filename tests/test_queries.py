@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.markup import collapse_space, escape
 from pagemill.functions.urls import clean_url, registrable_domain, url_parts
 from pagemill.operators import extract
-from pagemill.operators.cleaning import find_links, linkify, sanitize
+from pagemill.operators.cleaning import READABLE, find_links, linkify, sanitize
 from pagemill.operators.selectors import SelectorError, axis, closest, parse_selector, select, specificity
 from pagemill.operators.xpath import XPathError, xpath
 from pagemill.sources.encodings import decode, detect
@@ -142,7 +142,7 @@ def test_feeds(spark):
 def test_sanitize_and_linkify(spark):
     bad = "<p onclick=x>a<script>alert(1)</script><a href='java\tscript:x' title=t>l</a><blink>k</blink><!--c--></p>"
     pages = spark.createDataFrame([(1, bad), (2, None)], "page_id bigint, html string")
-    got = {r["page_id"]: r for r in sanitize(pages).collect()}
+    got = {r["page_id"]: r for r in sanitize(pages, READABLE).collect()}
     assert got[1]["clean"] == '<p>a<a title="t">l</a>k</p>'
     assert got[2]["clean"] == ""
     assert {r["tag"] for r in got[1]["removed"]} == {"p", "script", "a", "blink", "#comment"}

@@ -84,8 +84,11 @@ def test_markdown_and_text():
 
 def test_rendering_options():
     page = parse("<h1>T</h1><p>a <b>b</b> <del>x</del><a href='u'>c</a><br>d <img src=i alt=pic></p><ul><li>x</ul><pre>1</pre><table><tr><td>1<td>2</table>")
-    options = Markdown(headings="setext", bullet="*", strong="__", strikethrough="hide", code="indented", links="reference", images="alt", tables="text", line_break="backslash", base_url="http://a.example/")
+    options = Markdown(
+        headings=Markdown.Headings("setext"), lists=Markdown.Lists("*"), inline=Markdown.Inline(strong="__", strikethrough="hide"), code=Markdown.Code("indented"),
+        links=Markdown.Links("reference", base_url="http://a.example/"), images=Markdown.Images("alt"), tables=Markdown.Tables("strip"), document=Markdown.Document("backslash"),
+    )
     assert to_markdown(page, options) == "T\n===\n\na __b__ [c][1]\\\nd pic\n\n* x\n\n    1\n\n1\t2\n\n[1]: http://a.example/u"
-    assert to_markdown(parse("<h2>T</h2><p>" + "word " * 6), Markdown(headings="atx_closed", width=12)) == "## T ##\n\nword word\nword word\nword word"
-    text = to_text(parse("<p>a <a href=u>l</a> <img alt=pic><ul><li>x</ul><table><tr><td>1<td>2</table>"), PlainText(links="footnote", images=True, cell=" | ", bullet="-"))
+    assert to_markdown(parse("<h2>T</h2><p>" + "word " * 6), Markdown(headings=Markdown.Headings("atx_closed"), wrapping=Markdown.Wrapping(12))) == "## T ##\n\nword word\nword word\nword word"
+    text = to_text(parse("<p>a <a href=u>l</a> <img alt=pic><ul><li>x</ul><table><tr><td>1<td>2</table>"), PlainText(links="footnote", images=True, table_cell_separator=" | ", bullet="-"))
     assert text == "a l [1] pic\n\n- x\n\n1 | 2\n\n[1] u"
