@@ -5,15 +5,17 @@ Each extractor is a kernel over one parsed page, so a job over all pages is a sc
 
 from __future__ import annotations
 
+import datetime
 import json
 import re
 import xml.etree.ElementTree as ET
-from urllib.parse import urljoin
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.functions.markup import BLOCK, HIDDEN, to_text
+from pagemill.functions.markup import BLOCK, HIDDEN, serialize, to_markdown, to_text
+from pagemill.functions.whatwg import UrlCleaning, clean_one, resolve
 from pagemill.sources.nodes import per_page
 from pagemill.sources.tree import Node, parse
 
@@ -35,10 +37,8 @@ def base_of(document: Node, url: str | None) -> str:
 
 
 def _join(base: str, link: str) -> str:
-    try:
-        return urljoin(base, link)
-    except ValueError:
-        return link
+    """``link`` against ``base`` by the URL standard; as it is where that gives no address."""
+    return resolve(link, base or None) or link
 
 
 _REFRESH = re.compile(r"\s*([0-9.]+)\s*(?:[;,]?\s*(?:url\s*=\s*)?(?:\"([^\"]*)\"?|'([^']*)'?|(\S.*)))?", re.I | re.S)
@@ -92,6 +92,27 @@ def links(pages: DataFrame, html: str = "html", url: str = "url", key: str = "pa
     return per_page(pages, lambda h, u: links_of(parse(h), u), schema, [_I, _S, _S, _S, _S, _S, _S], html, url, key=key)
 
 
+def extract_links(pages: DataFrame, options: UrlCleaning = UrlCleaning(), html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """Clean addresses of the pages that each page's anchors lead to, each once (``seq, url, text``).
+
+    Twins that differ in http against https or in a trailing slash count as one; the first stays.
+    """
+
+    def kernel(text: str | None, address: str | None) -> list[tuple]:
+        document = parse(text)
+        base, seen, out = base_of(document, address), set(), []
+        for n in document.elements():
+            if n.tag in ("a", "area") and n.attrs.get("href"):
+                clean = clean_one(n.attrs["href"], replace(options, base_url=base or options.base_url))
+                twin = (clean or "").partition("://")[2].rstrip("/")
+                if clean and twin not in seen:
+                    seen.add(twin)
+                    out.append((len(out) + 1, clean, " ".join(n.text().split())))
+        return out
+
+    return per_page(pages, kernel, "page_id bigint, seq int, url string, text string", [_I, _S, _S], html, url, key=key)
+
+
 def grid(table: Node) -> list[list[str]]:
     """The cells of a table as a full grid: spanned places repeat the cell's text."""
     rows: list[dict[int, str]] = []
