@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.markup import Html, Markdown, PlainText, minify, serialize, serialize_with, serialize_xml, to_markdown, to_text
+from pagemill.functions.phones import find_phones
 from pagemill.sources.nodes import per_page
 from pagemill.sources.tree import MATH, SVG, VOID, Node, parse, parse_fragment
 
@@ -374,32 +376,84 @@ def render(pages: DataFrame, form: str, html: str = "html", key: str = "page_id"
 
 
 # Top-level domains that a bare host name needs.
-_TLD = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|eu|uk|de|fr|es|it|pl|pt|ru|nl|be|at|ch|se|no|dk|fi|cz|us|ca|au|jp|cn|br|mx|in|example|test"
-_LINK = re.compile(
-    rf"(?P<mail>(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}})|(?P<url>\b(?:https?|ftp)://[^\s<>\"“”]+)"
-    rf"|(?P<bare>(?<![@\w.-])(?:www\.)?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+(?:{_TLD})(?![\w-])(?::\d+)?(?:/[^\s<>\"“”]*)?)",
-    re.I,
-)
+TLDS = "com org net edu gov mil int info biz io dev app eu uk de fr es it pl pt ru nl be at ch se no dk fi cz us ca au jp cn br mx in co me tv cc ai xyz online site shop tech blog news example test".split()
+
+
+@dataclass(frozen=True)
+class Linkify:
+    """What becomes a link: addresses of ``schemes``, host names under known and ``extra_tlds``, mailboxes (``parse_email``) and
+    telephone numbers of ``phones`` (regions). Each of ``callbacks`` gets the attributes and the text of a link and gives
+    attributes back, or null for no link. Text in ``skip_tags`` stays; ``process_existing`` sends links that are there through
+    the callbacks, too."""
+
+    callbacks: tuple[Callable[[dict[str, str], str], dict[str, str] | None], ...] = ()
+    skip_tags: frozenset[str] = frozenset(("pre", "code", "script", "style", "textarea"))
+    parse_email: bool = True
+    process_existing: bool = False
+    extra_tlds: frozenset[str] = frozenset()
+    schemes: frozenset[str] = frozenset(("http", "https", "ftp"))
+    phones: tuple[str, ...] | None = None
+
 
+def nofollow(attrs: dict[str, str], text: str) -> dict[str, str]:
+    """Adds ``rel=nofollow`` to links other than mailboxes."""
+    if attrs.get("href", "").startswith("mailto:"):
+        return attrs
+    rel = attrs.get("rel", "").split()
+    return attrs | {"rel": " ".join(rel if "nofollow" in rel else [*rel, "nofollow"])}
 
-def find_links(text: str | None) -> list[dict]:
+
+def target_blank(attrs: dict[str, str], text: str) -> dict[str, str]:
+    return attrs if attrs.get("href", "").startswith("mailto:") else attrs | {"target": "_blank"}
+
+
+@cache
+def _link_pattern(options: Linkify) -> re.Pattern:
+    tlds = "|".join(sorted({*TLDS, *options.extra_tlds}, key=lambda t: (-len(t), t)))
+    label = r"[^\W_](?:[\w-]*[^\W_])?"
+    return re.compile(
+        rf"(?P<mail>(?<![\w.+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{{2,}})|(?P<url>\b(?:{'|'.join(sorted(options.schemes))})://[^\s<>\"“”]+)"
+        rf"|(?P<bare>(?<![@\w.-])(?<!//)(?:www\.)?(?:{label}\.)+(?:{tlds})(?![\w-])(?!\.\w)(?::\d+)?(?:/[^\s<>\"“”]*)?)",
+        re.I,
+    )
+
+
+def find_links(text: str | None, options: Linkify = Linkify()) -> list[dict]:
     """Addresses in plain text with their places; punctuation after one is not part of it, nor an unbalanced bracket."""
     out = []
-    for m in _LINK.finditer(text or ""):
+    for m in _link_pattern(options).finditer(text or ""):
         kind = m.lastgroup
+        if kind == "mail" and not options.parse_email:
+            continue
         found = m[0]
         if kind != "mail":
             while found and (found[-1] in ".,;:!?'*" or found[-1] in ")]" and found.count(found[-1]) > found.count("(" if found[-1] == ")" else "[")):
                 found = found[:-1]
         url = f"mailto:{found}" if kind == "mail" else found if kind == "url" else f"http://{found}"
         out.append({"start": m.start(), "end": m.start() + len(found), "text": found, "url": url, "is_email": kind == "mail"})
+    if options.phones is not None:
+        for start, end, spelled, phone in find_phones(text, options.phones):
+            if all(end <= x["start"] or start >= x["end"] for x in out):
+                out.append({"start": start, "end": end, "text": spelled, "url": phone.format("rfc3966"), "is_email": False})
+        out.sort(key=lambda x: x["start"])
     return out
 
 
+def has_link(text: str | None, options: Linkify = Linkify()) -> bool:
+    return bool(find_links(text, options))
+
+
 LINK_SPANS = "array<struct<start:int,end:int,text:string,url:string,is_email:boolean>>"
 
 
-def linkify(df: DataFrame, text: str) -> DataFrame:
+def _anchor(link: dict, options: Linkify) -> dict[str, str] | None:
+    attrs: dict[str, str] | None = {"href": link["url"]}
+    for callback in options.callbacks:
+        attrs = callback(attrs, link["text"]) if attrs is not None else None
+    return attrs
+
+
+def linkify(df: DataFrame, text: str, options: Linkify = Linkify()) -> DataFrame:
     """Add ``links``, the addresses found in column ``text``, and ``linked``, the escaped text with them as anchors.
 
     Null gives no links and null; other columns stay, input columns named like the outputs are replaced.
@@ -414,15 +468,69 @@ def linkify(df: DataFrame, text: str) -> DataFrame:
             return None
         out, begin = "", 0
         for x in found:
-            out += html.escape(value[begin : x["start"]]) + f'<a href="{html.escape(x["url"])}">{html.escape(x["text"])}</a>'
+            attrs = _anchor(x, options)
+            out += html.escape(value[begin : x["start"]])
+            written = "".join(f' {k}="{html.escape(v)}"' for k, v in (attrs or {}).items())
+            out += f"<a{written}>{html.escape(x['text'])}</a>" if attrs is not None else html.escape(x["text"])
             begin = x["end"]
         return out + html.escape(value[begin:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(at).to_pylist()
-            found = [find_links(v) for v in values]
+            found = [find_links(v, options) for v in values]
             new = [pa.array(found, kind), pa.array([linked(v, f) for v, f in zip(values, found, strict=True)], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
 
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
+def linkify_tree(root: Node, options: Linkify = Linkify()) -> None:
+    """Turn the addresses in the texts of a tree into anchors, in place."""
+    for n in [x for x in root.walk() if x.kind == "text"]:
+        above, skip = n.parent, False
+        while above is not None and not skip:
+            skip = above.tag == "a" or above.tag in options.skip_tags
+            above = above.parent
+        if skip or n.parent is None:
+            continue
+        parent, begin = n.parent, 0
+        at = next(i for i, c in enumerate(parent.children) if c is n)
+        pieces: list[Node] = []
+        for x in find_links(n.data, options):
+            if (attrs := _anchor(x, options)) is not None:
+                pieces.append(Node("text", data=n.data[begin : x["start"]]))
+                link = Node("element", "a", attrs=attrs)
+                link.append(Node("text", data=x["text"]))
+                pieces.append(link)
+                begin = x["end"]
+        if pieces:
+            pieces.append(Node("text", data=n.data[begin:]))
+            n.remove()
+            for i, p in enumerate(p for p in pieces if p.kind != "text" or p.data):
+                parent.insert(at + i, p)
+    if options.process_existing:
+        for n in [x for x in root.elements() if x.tag == "a" and "href" in x.attrs]:
+            attrs: dict[str, str] | None = dict(n.attrs)
+            for callback in options.callbacks:
+                attrs = callback(attrs, n.text()) if attrs is not None else None
+            if attrs is not None:
+                n.attrs = attrs
+            else:  # the link gives way to its content
+                at = next(i for i, c in enumerate(n.parent.children) if c is n)
+                for i, c in enumerate(list(n.children)):
+                    n.parent.insert(at + i, c)
+                n.remove()
+
+
+def linkify_pages(pages: DataFrame, options: Linkify = Linkify(), html: str = "html", key: str = "page_id") -> DataFrame:
+    """``linked``: fragments of HTML with the addresses in their texts as anchors; null stays empty."""
+
+    def kernel(text: str | None) -> list[tuple]:
+        root = Node("element", "div")
+        for n in parse_fragment(text):
+            root.append(n)
+        linkify_tree(root, options)
+        return [(serialize(root, inner=True),)]
+
+    return per_page(pages, kernel, "page_id bigint, linked string", [pa.string()], html, key=key)

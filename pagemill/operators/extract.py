@@ -10,6 +10,7 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, replace
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -320,6 +321,68 @@ def main_content(pages: DataFrame, html: str = "html", key: str = "page_id") ->
     return per_page(pages, kernel, "page_id bigint, tag string, text string", [_S, _S], html, key=key)
 
 
+@dataclass(frozen=True)
+class Article:
+    """Main content with what the page says about it."""
+
+    title: str | None
+    author: str | None
+    published: str | None
+    description: str | None
+    site: str | None
+    language: str | None
+    image: str | None
+    canonical: str | None
+    html: str | None
+    text: str | None
+    markdown: str | None
+
+
+def article_of(document: Node, url: str | None) -> Article:
+    title, description, author, site, language, canonical, image, _ = metadata_of(document, url)
+    if author is None:
+        for item in structured_of(document, url)[0]:
+            if m := re.search(r'"author": (?:\[?\{[^{}]*"name": "([^"]*)"|"([^"]*)")', item):
+                author = m[1] or m[2]
+                break
+    node = main_node(document)
+    whole = lambda f: f(node) if node is not None else None
+    return Article(title, author, date_of(document, url)[0], description, site, language, image, canonical, whole(serialize), whole(to_text), whole(to_markdown))
+
+
+def articles(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+    """One row per page: its main content as HTML, text and Markdown, with title, author, date and the rest of its metadata."""
+    names = list(Article.__dataclass_fields__)
+    kernel = lambda h, u: [tuple(getattr(article_of(parse(h), u), n) for n in names)]
+    return per_page(pages, kernel, "page_id bigint, " + ", ".join(f"{n} string" for n in names), [_S] * len(names), html, url, key=key)
+
+
+@dataclass(frozen=True)
+class Extraction:
+    """What counts as boilerplate: blocks shorter than ``min_length``, with more of their text in links than ``max_link_density``,
+    or outside the content. ``keep_headings`` false judges headings like other blocks."""
+
+    min_length: int = 25
+    max_link_density: float = 0.5
+    keep_headings: bool = True
+
+    @classmethod
+    def strict(cls) -> Extraction:
+        """Limits as usual for text corpora."""
+        return cls(70, 0.2)
+
+
+def boilerplate(pages: DataFrame, options: Extraction = Extraction(), html: str = "html", key: str = "page_id") -> DataFrame:
+    """Text blocks with whether they are boilerplate by the options: ``para_no, text, is_boilerplate, is_heading``."""
+    o = options
+
+    def kernel(text: str | None) -> list[tuple]:
+        rows = paragraphs_of(parse(text), o.min_length, o.max_link_density)
+        return [(i, words, poor or heading and not o.keep_headings and len(words) < o.min_length, heading) for i, words, poor, heading in rows]
+
+    return per_page(pages, kernel, "page_id bigint, para_no int, text string, is_boilerplate boolean, is_heading boolean", [_I, _S, _B, _B], html, key=key)
+
+
 def paragraphs_of(document: Node, shortest: int = 40, density: float = 0.35) -> list[tuple]:
     """Text blocks with whether they are boilerplate and whether they are headings."""
     out: list[list] = []
@@ -354,59 +417,138 @@ def paragraphs(pages: DataFrame, shortest: int = 40, density: float = 0.35, html
     return per_page(pages, lambda h: paragraphs_of(parse(h), shortest, density), schema, [_I, _S, _B, _B], html, key=key)
 
 
-_DATE = re.compile(r"\b((?:19|20)\d\d)[-/.](0?[1-9]|1[0-2])[-/.](0?[1-9]|[12]\d|3[01])(?!\d)")
-_DATE_META = ("article:published_time", "datepublished", "date", "dc.date", "dcterms.created", "pubdate", "og:published_time", "article:modified_time", "last-modified")
+_DATE = re.compile(r"(?<!\d)((?:19|20)\d\d)[-/.](0?[1-9]|1[0-2])[-/.](0?[1-9]|[12]\d|3[01])(?!\d)")
+# Spelled months of English, German, French and Spanish by their first letters.
+_MONTHS = {m: i for i, ms in enumerate(("jan ene", "feb fév fev", "mar mär", "apr avr abr", "may mai", "jun juin", "jul juil", "aug aoû ago", "sep", "oct okt", "nov", "dec dez déc dic"), 1) for m in ms.split()}
+_SPELLED = re.compile(r"\b(\d{1,2})(?:st|nd|rd|th|er|\.)?\s+(?:de\s+)?([A-Za-zéûä]{3,10})\.?,?\s+(?:de\s+)?((?:19|20)\d\d)\b|\b([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+((?:19|20)\d\d)\b")
+_POINTED = re.compile(r"(?<![\d.])(0?[1-9]|[12]\d|3[01])[./](0?[1-9]|1[0-2])[./]((?:19|20)\d\d)(?!\d)")
+# Names of metadata that tell a date; first published, or last changed.
+_PUBLISHED = ("article:published_time", "datepublished", "date", "dc.date", "dc.date.issued", "dcterms.created", "dcterms.date", "pubdate", "publishdate", "og:published_time", "sailthru.date", "parsely-pub-date")
+_CHANGED = ("article:modified_time", "datemodified", "dcterms.modified", "last-modified", "og:updated_time", "lastmod")
 
 
-def date_of(document: Node, url: str | None) -> tuple:
-    """The date of a page and what says so: metadata, structured data, a time element, the address, or the text."""
+@dataclass(frozen=True)
+class DateExtraction:
+    """Which date: the first published (``original``) or the last changed where both are said, between ``min_date`` and ``max_date``
+    (ISO; today if null), written by ``output_format``. ``extensive_search`` reads the visible text, too."""
+
+    original: bool = True
+    output_format: str = "%Y-%m-%d"
+    min_date: str = "1995-01-01"
+    max_date: str | None = None
+    extensive_search: bool = True
 
-    def pick(text: str | None) -> str | None:
-        m = _DATE.search(text or "")
-        return f"{m[1]}-{int(m[2]):02d}-{int(m[3]):02d}" if m else None
+
+def date_of(document: Node, url: str | None, options: DateExtraction = DateExtraction()) -> tuple:
+    """The date of a page and what says so: metadata, structured data, a time element, the address, or the text."""
+    o = options
+    last = o.max_date or datetime.date.today().isoformat()
+
+    def pick(text: str | None, spelled: bool = False) -> str | None:
+        found = [(m.start(), m[1], m[2], m[3]) for m in _DATE.finditer(text or "")]
+        if spelled:
+            found += [(m.start(), m[3], m[2], m[1]) for m in _POINTED.finditer(text or "")]
+            for m in _SPELLED.finditer(text or ""):
+                word = (m[2] or m[4]).lower()
+                if month := _MONTHS.get(word[:4]) or _MONTHS.get(word[:3]):
+                    found.append((m.start(), m[3] or m[6], month, m[1] or m[5]))
+        for _, year, month, day in sorted(found, key=lambda x: x[0]):
+            try:
+                date = datetime.date(int(year), int(month), int(day))
+            except ValueError:
+                continue
+            if o.min_date <= date.isoformat() <= last:
+                return date.strftime(o.output_format)
+        return None
 
     meta = dict(metadata_of(document, url)[7])
-    for name in _DATE_META:
+    for name in (*_PUBLISHED, *_CHANGED) if o.original else (*_CHANGED, *_PUBLISHED):
         if found := pick(meta.get(name)):
             return found, f"meta:{name}"
+    keys = ("Published", "Created", "Modified") if o.original else ("Modified", "Published", "Created")
     for text in structured_of(document, url)[0]:
-        if found := pick(" ".join(re.findall(r'"date(?:Published|Created|Modified)": "([^"]*)"', text))):
-            return found, "json-ld"
+        for name in keys:
+            if found := pick(" ".join(re.findall(rf'"date{name}": "([^"]*)"', text))):
+                return found, "json-ld"
     for n in document.elements():
-        if n.tag == "time" and (found := pick(n.attrs.get("datetime") or n.text())):
+        if n.tag == "time" and (found := pick(n.attrs.get("datetime") or n.text(), True)):
             return found, "time"
     if found := pick(url):
         return found, "url"
     body = document.first("body")
-    found = pick(body.text()) if body is not None else None
+    found = pick(body.text(), True) if body is not None and o.extensive_search else None
     return found, "text" if found else None
 
 
-def dates(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    return per_page(pages, lambda h, u: [date_of(parse(h), u)], "page_id bigint, date string, signal string", [_S, _S], html, url, key=key)
+def dates(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", options: DateExtraction = DateExtraction()) -> DataFrame:
+    return per_page(pages, lambda h, u: [date_of(parse(h), u, options)], "page_id bigint, date string, signal string", [_S, _S], html, url, key=key)
 
 
 def form_of(document: Node) -> list[tuple]:
-    """Names and values that submitting each form as it stands would send."""
+    """Names and values that submitting each form as it stands would send.
+
+    A control belongs to the form that its ``form`` attribute names, else to the one around it; a disabled fieldset disables all
+    in it but its first legend; choices in a datalist are none.
+    """
+    forms = [n for n in document.elements() if n.tag == "form"]
+    by_id = {n.attrs["id"]: n for n in reversed(forms) if n.attrs.get("id")}
+    number = {id(n): i for i, n in enumerate(forms, 1)}
     out = []
-    for no, form in enumerate((n for n in document.elements() if n.tag == "form"), 1):
-        for n in form.elements():
-            name = n.attrs.get("name")
-            if not name or "disabled" in n.attrs:
+
+    def visit(n: Node, form: Node | None, off: bool, listed: bool) -> None:
+        for c in n.children:
+            if c.kind != "element":
+                continue
+            owner = by_id.get(c.attrs["form"]) if "form" in c.attrs else form
+            if owner is not None and not off and not listed and "disabled" not in c.attrs and c.attrs.get("name"):
+                out.extend((number[id(owner)], c.attrs["name"], v) for v in field_values(c))
+            closed = off
+            if c.tag == "fieldset" and "disabled" in c.attrs:
+                legend = next((x for x in c.children if x.tag == "legend"), None)
+                for x in list(c.children):
+                    holder = Node("content")
+                    holder.children = [x]
+                    visit(holder, form, off or x is not legend, listed)
                 continue
-            kind = n.attrs.get("type", "").lower()
-            if n.tag == "input" and kind not in ("submit", "button", "image", "reset", "file"):
-                if kind not in ("checkbox", "radio") or "checked" in n.attrs:
-                    out.append((no, name, n.attrs.get("value", "on" if kind in ("checkbox", "radio") else "")))
-            elif n.tag == "textarea":
-                out.append((no, name, n.text()))
-            elif n.tag == "select":
-                options = [o for o in n.elements() if o.tag == "option" and "disabled" not in o.attrs]
-                chosen = [o for o in options if "selected" in o.attrs] or ([] if "multiple" in n.attrs else options[:1])
-                out += [(no, name, o.attrs.get("value", " ".join(o.text().split()))) for o in (chosen if "multiple" in n.attrs else chosen[-1:])]
+            visit(c, c if c.tag == "form" else form, closed, listed or c.tag == "datalist")
+
+    visit(document, None, False, False)
+    return sorted(out, key=lambda r: r[0])
+
+
+def field_values(n: Node) -> list[str]:
+    """What a control sends as it stands: nothing, one value, or several."""
+    kind = n.attrs.get("type", "").lower()
+    if n.tag == "input" and kind not in ("submit", "button", "image", "reset", "file"):
+        if kind in ("checkbox", "radio"):
+            return [n.attrs.get("value", "on")] if "checked" in n.attrs else []
+        return [n.attrs.get("value", "")]
+    if n.tag == "textarea":
+        return [n.text()]
+    if n.tag == "select":
+        options = [o for o in n.elements() if o.tag == "option" and "disabled" not in o.attrs]
+        chosen = [o for o in options if "selected" in o.attrs] or ([] if "multiple" in n.attrs else options[:1])
+        return [o.attrs.get("value", " ".join(o.text().split())) for o in (chosen if "multiple" in n.attrs else chosen[-1:])]
+    return []
+
+
+def labels_of(document: Node) -> list[tuple]:
+    """Labels with the control each is for: named by ``for``, else the first control in it."""
+    controls = ("input", "select", "textarea", "button", "meter", "output", "progress")
+    by_id = {n.attrs["id"]: n for n in reversed(list(document.elements())) if n.attrs.get("id")}
+    out = []
+    for n in (x for x in document.elements() if x.tag == "label"):
+        control = by_id.get(n.attrs["for"]) if "for" in n.attrs else next((x for x in n.elements() if x.tag in controls), None)
+        if control is not None and control.tag in controls:
+            out.append((len(out) + 1, " ".join(n.text().split()), control.tag, control.attrs.get("name"), control.attrs.get("id")))
     return out
 
 
+def labels(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """``seq, label, control, name, id``: every label with its control."""
+    return per_page(pages, lambda h: labels_of(parse(h)), "page_id bigint, seq int, label string, control string, name string, id string", [_I, _S, _S, _S, _S], html, key=key)
+
+
 def form_data(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     return per_page(pages, lambda h: form_of(parse(h)), "page_id bigint, form_no int, name string, value string", [_I, _S, _S], html, key=key)
 
@@ -415,12 +557,52 @@ def _local(e: ET.Element) -> str:
     return e.tag.rpartition("}")[2].lower() if isinstance(e.tag, str) else ""
 
 
+# Elements of feeds whose text is markup when it is not escaped.
+_FEED_TEXTS = "title|description|summary|content|content:encoded|subtitle|rights|guid|link|author|name|id|pubDate|published|updated|dc:creator|dc:date"
+
+
+def _repaired(text: str) -> ET.Element | None:
+    """A feed that is not well formed: stray ampersands escaped, names of HTML read, controls dropped, texts with markup taken as
+    they stand, what is left open closed."""
+    if not re.search(r"<(?:rss|feed|rdf:RDF)[\s>]", text[:5_000], re.I):
+        return None
+    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", text)
+    text = re.sub(r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", lambda m: "&amp;", re.sub(r"&(?!amp|lt|gt|quot|apos)([A-Za-z][A-Za-z0-9]*);", lambda m: html5.get(m[1] + ";", f"&amp;{m[1]};"), text))
+
+    def plain(m: re.Match) -> str:
+        body = m[3]
+        if "<![CDATA[" in body or "<" not in body:
+            return m[0]
+        return f"<{m[1]}{m[2]}>{body.replace('<', '&lt;').replace('>', '&gt;')}</{m[1]}>"
+
+    text = re.sub(rf"<({_FEED_TEXTS})((?:\s[^<>]*)?)(?<!/)>(.*?)</\1\s*>", plain, text, flags=re.S)
+    for name in set(re.findall(r"</?([A-Za-z][\w.-]*):", text)) | set(re.findall(r"\s([A-Za-z][\w.-]*):[\w.-]+\s*=", text)):
+        if name not in ("xmlns", "xml") and f"xmlns:{name}=" not in text:
+            text = re.sub(r"<((?:rss|feed|rdf:RDF))", rf'<\1 xmlns:{name}="urn:{name}"', text, count=1, flags=re.I)
+    open_: list[str] = []
+    for m in re.finditer(r"<!\[CDATA\[.*?(?:\]\]>|\Z)|<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][\w:.-]*)([^<>]*?)(/?)>", text, re.S):
+        if m[2] and not m[4]:
+            if not m[1]:
+                open_.append(m[2])
+            elif m[2] in open_:
+                while open_.pop() != m[2]:
+                    pass
+    text = re.sub(r"<[^<>]*\Z", "", text) + "".join(f"</{t}>" for t in reversed(open_))
+    try:
+        return ET.fromstring(text)
+    except ET.ParseError:
+        return None
+
+
 def feed_of(xml: str | None) -> list[tuple]:
     """Entries of an RSS 2.0, Atom 1.0 or RDF feed, with the feed's own fields; nothing for what is no feed."""
+    text_ = (xml or "").strip().removeprefix("﻿")
     try:
-        root = ET.fromstring((xml or "").strip().removeprefix("﻿"))
+        root = ET.fromstring(text_)
     except ET.ParseError:
-        return []
+        root = _repaired(text_)
+        if root is None:
+            return []
     kind = {"rss": "rss", "feed": "atom", "rdf": "rdf"}.get(_local(root))
     if kind is None:
         return []

@@ -286,7 +286,10 @@ class Builder:
         if parent.kind == "document":
             return
         if at and parent.children[at - 1].kind == "text":
-            parent.children[at - 1].data += data
+            before = parent.children[at - 1]
+            before.data += data
+            if before.start and self.span and before.start[1] == self.span[0]:
+                before.start = (before.start[0], self.span[1])
         else:
             node = Node("text", data=data)
             node.start = self.span
@@ -505,6 +508,7 @@ class Builder:
             return self.put_comment(t, self.document)
         elif t.kind == "doctype":
             node = Node("doctype", t.data)
+            node.start = self.span
             node.attrs = {"public": t.public or "", "system": t.system or ""}
             self.document.append(node)
             public = (t.public or "").lower()
