@@ -12,17 +12,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions import urls
 from pagemill.functions.markup import Html, Markdown, PlainText, escape
-from pagemill.operators import extract
-from pagemill.operators.cleaning import ESCAPE, REMOVE, STRIP, Policy, Transform, render, sanitize
+from pagemill.functions.phones import parse_phones
+from pagemill.operators import dom, extract
+from pagemill.operators.cleaning import REMOVE, STRIP, Linkify, Policy, Transform, linkify_pages, nofollow, render, sanitize
 from pagemill.operators.conformance import conformance
 from pagemill.operators.edit import rewrite, select_many
-from pagemill.operators.selectors import select
+from pagemill.operators.schema import validate
+from pagemill.operators.selectors import axis, select
 from pagemill.operators.styles import computed_styles
 from pagemill.operators.xpath import xpath
 from pagemill.operators.xslt import transform
 from pagemill.session import materialize, spread_table
+from pagemill.sources.encodings import decode
+from pagemill.sources.errors import locations, parse_errors
 from pagemill.sources.nodes import parse_nodes
+from pagemill.sources.tree import Node
+from pagemill.sources.xml import Canonical, canonical_xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -345,7 +352,7 @@ _HTMLS = {
     "sorted": (Html(sort_attributes=True, meta_charset=True), '<!DOCTYPE html><html><head><meta charset="utf-8"><title>{e}</title></head><body><p class="k" hidden="" title="{a}">a © b<br>{e}<!-- c --><svg><circle r="1"></circle></svg></p></body></html>'),
     "xml": (
         Html(xml=True),
-        "<!DOCTYPE html><html><head><title>{sql:x}</title></head><body><p title=\"{sql:replace(x, chr(34), '&quot;')}\" class=\"k\" hidden=\"\">a © b<br/>{sql:x}<!-- c --><svg xmlns=\"http://www.w3.org/2000/svg\"><circle r=\"1\"/></svg></p></body></html>",
+        "<!DOCTYPE html><html><head><title>{sql:x}</title></head><body><p title=\"{sql:replace(replace(replace(x, chr(34), '&quot;'), chr(9), '&#9;'), chr(10), '&#10;')}\" class=\"k\" hidden=\"\">a © b<br/>{sql:x}<!-- c --><svg xmlns=\"http://www.w3.org/2000/svg\"><circle r=\"1\"/></svg></p></body></html>",
     ),
 }
 
@@ -381,7 +388,7 @@ _POLICIES = {
             tags=_STYLED, attributes={"p": frozenset(("style", "title")), "*": frozenset(("id", "href"))}, on_disallowed_tag=STRIP, remove_with_content=frozenset(("script", "blink")), strip_comments=False, set_attributes={"a": {"target": "_blank"}}, attribute_prefixes=frozenset(("data-",)),
             attribute_values={"a": {"href": frozenset(("https://b.example/",))}}, strip_template_markers=True, transform_tags={"h1": Transform("p", {"title": "was"})}, isolate_named_props=True,
         ),
-        '<p title="{a}" style="color: red">{e}<a target="_blank">j</a><a target="_blank">k</a><!-- c --></p><my-tag data-k="1">m</my-tag><p id="user-content-body" title="was">  z</p>',
+        '<p title="{sql:replace(s, chr(34), \'&quot;\')}" style="color: red">{sql:s}<a target="_blank">j</a><a target="_blank">k</a><!-- c --></p><my-tag data-k="1">m</my-tag><p id="user-content-body" title="was">  z</p>',
     ),
     "xml": (Policy(tags=frozenset(("p", "img")), attributes={"img": frozenset(("src",))}, on_disallowed_tag=STRIP, remove_with_content=frozenset(("script",)), xml=True), '<p>{x}jk<img src="x"/>b</p>m{{ y }} z'),
 }
@@ -392,7 +399,8 @@ def _policies_sql() -> str:
         marks = text.replace("{{ y }}", "\x01").replace("{q}", "{sql:replace(e2, '\"', '\"')}").replace("{x}", "{sql:x}")
         return _pieces(marks).replace("\x01", "{{ y }}")
 
-    escaped = ", x AS (SELECT *, replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, replace(replace(replace(replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&', '&amp;'), chr(160), '&nbsp;'), 'x^', '') AS e2 FROM p) "
+    escaped = """, x AS (SELECT *, replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x, replace(replace(replace(replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&', '&amp;'), chr(160), '&nbsp;'), 'x^', '') AS e2,
+replace(replace(replace(replace(regexp_replace(r, '\\{\\{.*?\\}\\}|\\$\\{.*?\\}|<%.*?%>', ' ', 'gs'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(160), '&nbsp;') AS s FROM p) """
     return _TITLES + escaped + " UNION ALL ".join(f"SELECT page_id, {_quoted(name)} AS policy, {pieces(wanted) if name != 'basic' else f"replace({pieces(wanted)}, 'title=\"\" style', 'title style')"} AS clean FROM x" for name, (_, wanted) in _POLICIES.items())
 
 
@@ -513,3 +521,229 @@ def _faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["conformance_codes"] = _faults
 ORACLES["conformance_codes"] = _TITLES + """SELECT page_id, v.code, CAST(v.n AS BIGINT) AS n FROM p CROSS JOIN (VALUES ('img-missing-alt', 1), ('area-missing-alt', 1), ('input-image-missing-alt', 1), ('obsolete-element', 1), ('obsolete-attribute', 1), ('aria-invalid-role', 1),
 ('aria-redundant-role', 1), ('redundant-type-attribute', 2), ('empty-heading', 1), ('section-no-heading', 1), ('duplicate-id', 1), ('missing-lang', 1), ('missing-title', 1)) v(code, n)"""
+
+# -- addresses, numbers, bytes ---------------------------------------------------------------------------------------------------
+
+
+def _pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_table(spark, sf_dir, "pages")
+
+
+_LINKS = ["x/y", "../z", "/r?q#f", "?k", "//b.example/p", "./a b", "mailto:m@a.example"]
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+_DIRECTORY = "regexp_extract(url, '^([a-z]+://[^/?#]*/([^?#]*/)?)', 1)"
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every kind against the address of every page."""
+    links = F.explode(F.array(*map(F.lit, _LINKS))).alias("link")
+    return _pages_of(spark, sf_dir).select("page_id", "url", links).select("page_id", "link", urls.resolve(F.col("link"), F.col("url")).alias("resolved"))
+
+
+QUERIES["url_resolved"] = _resolved
+ORACLES["url_resolved"] = f"""WITH b AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+:', 0) AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS origin, {_DIRECTORY} AS dir, regexp_replace(url, '[?#].*$', '') AS bare FROM (SELECT page_id, regexp_replace(url, '^([a-z]+://[^/?#]+)([?#]|$)', '\\1/\\2') AS url FROM pages) pages)
+SELECT page_id, v.link, CASE WHEN NOT regexp_matches(url, '^[a-z]+://') THEN CASE WHEN v.link LIKE 'mailto%' THEN v.link END ELSE CASE v.n WHEN 0 THEN dir || 'x/y' WHEN 1 THEN origin || '/z' WHEN 2 THEN origin || '/r?q#f' WHEN 3 THEN bare || '?k'
+WHEN 4 THEN scheme || '//b.example/p' WHEN 5 THEN dir || 'a%20b' ELSE v.link END END AS resolved FROM b CROSS JOIN (VALUES {", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(_LINKS))}) v(n, link)"""
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messy = F.concat(F.lit("HTTP://U@"), F.upper(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)), F.lit(":80/a/../b%7e/./c?z=1&utm_medium=x&y=%c3%a9&fbclid=2"))
+    return _pages_of(spark, sf_dir).filter("url RLIKE '^[a-z]+://'").select("page_id", urls.normalize_url(messy).alias("url"), urls.scrub_url(messy, urls.UrlCleaning(strict=True)).alias("scrubbed"))
+
+
+QUERIES["url_normalized"] = _normalized
+ORACLES["url_normalized"] = f"SELECT page_id, 'http://U@' || lower({_HOST}) || '/b~/c?y=%c3%a9&z=1' AS url, 'http://U@' || lower({_HOST}) || '/b~/c' AS scrubbed FROM pages WHERE regexp_matches(url, '^[a-z]+://')"
+
+def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("n"), F.col("page_id").cast("string"))
+    hosts = F.explode(F.array(*[F.concat(*[x for i, part in enumerate(t.split("{h}")) for x in ([name] if i else []) + [F.lit(part)]]) for t in ("a.{h}.co.uk", "www.{h}.com", "b.a.{h}.ck", "a.www.ck", "b.a.city.kobe.jp", "y.x.{h}.kobe.jp", "{h}")])).alias("host")
+    return _pages_of(spark, sf_dir).select("page_id", hosts).select("page_id", "host", urls.registrable_domain(F.col("host")).alias("domain"))
+
+
+QUERIES["url_suffixes"] = _domains
+ORACLES["url_suffixes"] = """SELECT page_id, replace(v.host, '{h}', 'n' || page_id) AS host, replace(v.domain, '{h}', 'n' || page_id) AS domain FROM pages CROSS JOIN (VALUES ('a.{h}.co.uk', '{h}.co.uk'), ('www.{h}.com', '{h}.com'), ('b.a.{h}.ck', 'a.{h}.ck'), ('a.www.ck', 'www.ck'),
+('b.a.city.kobe.jp', 'city.kobe.jp'), ('y.x.{h}.kobe.jp', 'x.{h}.kobe.jp'), ('{h}', NULL)) v(host, domain)"""
+
+
+def _idna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.concat(F.lit("B\u00dcCHER."), F.col("page_id").cast("string"), F.lit(".example"))
+    return _pages_of(spark, sf_dir).select("page_id", urls.to_ascii(host).alias("ascii"), urls.to_unicode(urls.to_ascii(host)).alias("unicode"))
+
+
+QUERIES["url_idna"] = _idna
+ORACLES["url_idna"] = "SELECT page_id, 'xn--bcher-kva.' || page_id || '.example' AS ascii, 'b\u00fccher.' || page_id || '.example' AS unicode FROM pages"
+
+
+def _escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.col("title"))
+    encoded = urls.percent_encode(F.col("title"))
+    return rows.select("page_id", urls.percent_decode(F.replace(encoded, F.lit("%25"), F.lit("%25"))).alias("decoded"))
+
+
+QUERIES["url_escapes"] = _escapes
+ORACLES["url_escapes"] = "SELECT row_id AS page_id, title AS decoded FROM entries"
+
+
+def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.lpad((F.col("row_id") % 10_000).cast("string"), 4, "0")
+    kinds = [(F.concat(F.lit("(202) 555-"), digits), "US"), (F.concat(F.lit("+44 20 7946 "), digits), None), (F.concat(F.lit("0171 392"), digits), "DE"), (F.lit("12"), "DE")]
+    each = F.explode(F.array(*[F.struct(t.alias("t"), F.lit(r).cast("string").alias("r")) for t, r in kinds])).alias("x")
+    rows = spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), each)
+    found = parse_phones(rows.select("page_id", "x.t", "x.r"), "t", "r")
+    return found.select("page_id", F.col("t").alias("text"), "phone.e164", "phone.national", "phone.region", "phone.type")
+
+
+QUERIES["phone_numbers"] = _phones
+ORACLES["phone_numbers"] = """WITH d AS (SELECT row_id AS page_id, lpad(CAST(row_id % 10000 AS VARCHAR), 4, '0') AS n FROM entries)
+SELECT page_id, '(202) 555-' || n AS text, '+1202555' || n AS e164, '(202) 555-' || n AS "national", 'US' AS region, 'fixed_or_mobile' AS type FROM d UNION ALL SELECT page_id, '+44 20 7946 ' || n, '+44207946' || n, '020 7946 ' || n, 'GB', 'fixed' FROM d
+UNION ALL SELECT page_id, '0171 392' || n, '+49171392' || n, '0171 392' || n[1:1] || ' ' || n[2:], 'DE', 'mobile' FROM d UNION ALL SELECT page_id, '12', NULL, NULL, NULL, NULL FROM d"""
+
+
+def _marked_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as bytes under marks and declarations of several encodings."""
+    title = F.concat(F.lit("<p>\u044f "), F.coalesce(F.col("title"), F.lit("")))
+    forms = [("utf-8", F.encode(title, "UTF-8")), ("bom", F.concat(F.unhex(F.lit("EFBBBF")), F.encode(title, "UTF-8"))), ("le", F.concat(F.unhex(F.lit("FFFE")), F.encode(title, "UTF-16LE"))), ("be", F.concat(F.unhex(F.lit("FEFF")), F.encode(title, "UTF-16BE")))]
+    rows = spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("form"), b.alias("content")) for n, b in forms])).alias("x"))
+    keyed = rows.select("page_id", "x.form", "x.content")
+    return _union([decode(keyed.filter(F.col("form") == n), "content").select("page_id", F.lit(n).alias("form"), "html", "encoding") for n, _ in forms])
+
+
+QUERIES["decode_marked"] = _marked_bytes
+ORACLES["decode_marked"] = """SELECT row_id AS page_id, v.form, '<p>\u044f ' || coalesce(title, '') AS html, v.encoding FROM entries CROSS JOIN (VALUES ('utf-8', 'utf-8'), ('bom', 'utf-8'), ('le', 'utf-16-le'), ('be', 'utf-16-be')) v(form, encoding)"""
+
+# -- errors, places, trees, XML ----------------------------------------------------------------------------------------------------
+
+_WRONG = "<!doctype html>\n<title>{t}</title>\n<p a=1 a=2>x &nope; <div/>\n</b></div x><!-- c --!>"
+
+
+def _parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_errors(_filled(_WRONG, spark, sf_dir)).filter("line > 2").select("page_id", "code", "line", "col")
+
+
+QUERIES["parse_errors"] = _parse_errors
+ORACLES["parse_errors"] = _TITLES + """SELECT page_id, v.code, CAST(v.line AS INTEGER) AS line, CAST(v.col AS INTEGER) AS col FROM p CROSS JOIN (VALUES ('duplicate-attribute', 3, 8), ('unknown-named-character-reference', 3, 14), ('non-void-html-element-start-tag-with-trailing-solidus', 3, 21), ('stray-end-tag', 4, 1),
+('end-tag-with-attributes', 4, 5), ('incorrectly-closed-comment', 4, 20)) v(code, line, col)"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locations(_filled("<b>{t}</b>\n<p>x<i>y</i>", spark, sf_dir)).select("page_id", "tag", "start", "start_end", "close", "line", "col", "end_line")
+
+
+QUERIES["source_places"] = _places
+ORACLES["source_places"] = _TITLES + """, n AS (SELECT page_id, length(replace(replace(replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')) AS n, length(r) - length(replace(r, chr(10), '')) AS k FROM p)
+SELECT page_id, 'b' AS tag, 0 AS start, 3 AS start_end, CAST(n + 3 AS INTEGER) AS close, 1 AS line, 1 AS col, CAST(1 + k AS INTEGER) AS end_line FROM n UNION ALL SELECT page_id, 'p', CAST(n + 8 AS INTEGER), CAST(n + 11 AS INTEGER), NULL, CAST(2 + k AS INTEGER), 1, NULL FROM n
+UNION ALL SELECT page_id, 'i', CAST(n + 12 AS INTEGER), CAST(n + 15 AS INTEGER), CAST(n + 16 AS INTEGER), CAST(2 + k AS INTEGER), 5, CAST(2 + k AS INTEGER) FROM n"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.paths(_filled(_TREE, spark, sf_dir), "li, b").select("page_id", "css", "xpath")
+
+
+QUERIES["tree_paths"] = _paths
+ORACLES["tree_paths"] = _TITLES + """SELECT page_id, v.css, v.xpath FROM p CROSS JOIN (VALUES ('#u > li:nth-of-type(1)', '/html/body/ul/li[1]'), ('#u > li:nth-of-type(2)', '/html/body/ul/li[2]'), ('#u > li:nth-of-type(3)', '/html/body/ul/li[3]'), ('#u > li:nth-of-type(4)', '/html/body/ul/li[4]'), ('#p > b', '/html/body/p[1]/b')) v(css, xpath)"""
+
+
+def _edited(tree: Node) -> None:
+    for n in dom.select(tree, "li"):
+        dom.add_class(n, "k")
+    dom.wrap(dom.select_one(tree, "h1"), dom.E.header())
+    dom.strip_tags(tree, "b")
+    dom.strip_comments(tree)
+    dom.replace_with(dom.select_one(tree, "#q"), "end")
+    dom.normalize(tree)
+
+
+def _by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.apply(_filled(_TREE, spark, sf_dir), _edited)
+
+
+QUERIES["tree_edits"] = _by_hand
+ORACLES["tree_edits"] = _TITLES + "SELECT page_id, " + _pieces('<!DOCTYPE html><html lang="en"><head></head><body><header><h1 id="h">{e}</h1></header><ul id="u"><li class="k">3</li><li class="k">1</li><li class="k">2</li><li class="k">3</li></ul><p id="p" class="k">ac d</p>end</body></html>') + " AS rewritten FROM p"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dom.table_records(_filled("<table><tr><th>k<th>v<tr><td>1<td>a {t} b<tr><td>2</table>", spark, sf_dir))
+    return rows.select("page_id", "row_no", F.try_element_at("record", F.lit("k")).alias("k"), F.try_element_at("record", F.lit("v")).alias("v"))
+
+
+QUERIES["table_records"] = _records
+ORACLES["table_records"] = _TITLES + "SELECT page_id, CAST(1 AS INTEGER) AS row_no, '1' AS k, array_to_string(list_filter(regexp_split_to_array('a ' || r || ' b', '[\\s\\x{a0}\\x{85}\\x{1c}-\\x{1f}]+'), lambda x: x <> ''), ' ') AS v FROM p UNION ALL SELECT page_id, 2, '2', '' FROM p"
+
+_SCHEMA = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="r"><xs:complexType><xs:sequence><xs:element name="t" type="xs:string"/><xs:element name="n" type="xs:positiveInteger"/></xs:sequence><xs:attribute name="k" type="xs:NCName" use="required"/></xs:complexType></xs:element></xs:schema>"""
+_GRAMMAR = """<element name="r" xmlns="http://relaxng.org/ns/structure/1.0" datatypeLibrary="http://www.w3.org/2001/XMLSchema-datatypes"><attribute name="k"><data type="NCName"/></attribute><element name="t"><text/></element><element name="n"><data type="positiveInteger"/></element></element>"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as XML: every third lacks its attribute, numbers that end in 0 are 0."""
+    rows = spread_table(spark, sf_dir, "entries")
+    attribute = F.when(F.col("row_id") % 3 == 0, F.lit("")).otherwise(F.lit(" k='a'"))
+    xml = F.concat(F.lit("<r"), attribute, F.lit("><t>"), escape(F.coalesce(F.col("title"), F.lit(""))), F.lit("</t><n>"), (F.col("row_id") % 10).cast("string"), F.lit("</n></r>"))
+    return rows.select(F.col("row_id").alias("page_id"), xml.alias("xml"))
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir)
+    return _union([validate(rows, text, kind).select("page_id", F.lit(kind).alias("kind"), "valid") for kind, text in (("xsd", _SCHEMA), ("rng", _GRAMMAR))])
+
+
+QUERIES["schema_validation"] = _validated
+ORACLES["schema_validation"] = "SELECT row_id AS page_id, v.kind, row_id % 3 <> 0 AND row_id % 10 <> 0 AS valid FROM entries CROSS JOIN (VALUES ('xsd'), ('rng')) v(kind)"
+
+
+def _schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validate(_documents(spark, sf_dir), _SCHEMA).select("page_id", F.explode("errors").alias("e"))
+    return found.select("page_id", "e.path", "e.type")
+
+
+QUERIES["schema_errors"] = _schema_errors
+ORACLES["schema_errors"] = "SELECT row_id AS page_id, '/r' AS path, 'attribute' AS type FROM entries WHERE row_id % 3 = 0 UNION ALL SELECT row_id, '/r/n', 'value' FROM entries WHERE row_id % 10 = 0"
+
+
+def _canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = escape(F.coalesce(F.col("title"), F.lit("")))
+    xml = F.concat(F.lit("<?xml version='1.0'?><a:r z='2'  a:y='1' xmlns:a='urn:a' xmlns='urn:d'><!-- c --><t>"), title, F.lit("</t><e/></a:r>"))
+    rows = spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), xml.alias("xml"))
+    return _union([canonical_xml(rows, o).select("page_id", F.lit(name).alias("form"), "canonical") for name, o in (("inclusive", Canonical()), ("exclusive", Canonical(exclusive=True, with_comments=True)))])
+
+
+QUERIES["canonical_forms"] = _canonical
+ORACLES["canonical_forms"] = (
+    _TITLES
+    + ", x AS (SELECT page_id, replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM p) SELECT page_id, 'inclusive' AS form, "
+    + _pieces('<a:r xmlns="urn:d" xmlns:a="urn:a" z="2" a:y="1"><t>{sql:x}</t><e></e></a:r>')
+    + " AS canonical FROM x UNION ALL SELECT page_id, 'exclusive', "
+    + _pieces('<a:r xmlns:a="urn:a" z="2" a:y="1"><!-- c --><t xmlns="urn:d">{sql:x}</t><e xmlns="urn:d"></e></a:r>')
+    + " FROM x"
+)
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = Linkify(callbacks=(nofollow,), phones=("US",))
+    return linkify_pages(_filled("<p>www.a.example, <b>m@b.test</b>; (202) 555-0143 <a href=x>c.example</a></p><code>d.example</code><i>\u2013 {t} \u2013</i>", spark, sf_dir), options).filter(~F.col("linked").rlike("<i>.*<a .*</i>"))
+
+
+QUERIES["linked_pages"] = _linked
+ORACLES["linked_pages"] = _TITLES + "SELECT page_id, " + _pieces('<p><a href="http://www.a.example" rel="nofollow">www.a.example</a>, <b><a href="mailto:m@b.test">m@b.test</a></b>; <a href="tel:+1-202-555-0143" rel="nofollow">(202) 555-0143</a> <a href="x">c.example</a></p><code>d.example</code><i>\u2013 {e} \u2013</i>') + " AS linked FROM p"
+
+
+def _axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements along every axis from the list of every page, as joins of the node table."""
+    nodes = materialize(parse_nodes(_filled(_TREE, spark, sf_dir)), "axes")
+    start = select(nodes, "ul")
+    names = ("ancestor", "ancestor-or-self", "child", "descendant", "descendant-or-self", "following", "following-sibling", "parent", "preceding", "preceding-sibling", "self")
+    found = _union([axis(nodes, start, n).filter("node_type = 'element'").select("page_id", F.lit(n).alias("axis")) for n in names])
+    return found.groupBy("page_id", "axis").agg(F.count("*").alias("n"))
+
+
+QUERIES["axes"] = _axes
+ORACLES["axes"] = _TITLES + """SELECT page_id, v.axis, CAST(v.n AS BIGINT) AS n FROM p CROSS JOIN (VALUES ('ancestor', 2), ('ancestor-or-self', 3), ('child', 4), ('descendant', 4), ('descendant-or-self', 5), ('following', 3), ('following-sibling', 2), ('parent', 1), ('preceding', 2), ('preceding-sibling', 1), ('self', 1)) v(axis, n)"""
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "The ferry sells warm bread, and the harbour office keeps a list of every lantern. " * 4
+    pages = _filled(f"<html lang=en><title>A {{t}} z</title><meta name=author content=N><meta name=date content=2024-05-06><nav><a href=x>menu</a></nav><article><h2>B</h2><p>{text}</p></article>", spark, sf_dir)
+    return extract.articles(pages).select("page_id", "author", "published", "language", F.length("text").alias("n"), "markdown")
+
+
+QUERIES["articles"] = _articles
+ORACLES["articles"] = _TITLES + "SELECT page_id, 'N' AS author, '2024-05-06' AS published, 'en' AS language, CAST(330 AS INTEGER) AS n, '## B' || chr(10) || chr(10) || trim(repeat('The ferry sells warm bread, and the harbour office keeps a list of every lantern. ', 4)) AS markdown FROM p"
