@@ -89,8 +89,9 @@ def pack(
     """Assign every piece of every document to a container.
 
     Output: the columns of :func:`size_items` and ``container_id``. No container exceeds ``capacity`` tokens,
-    ``max_segments`` pieces or ``loss_capacity`` loss-bearing tokens (default: ``capacity``). Items of 0 tokens (null and
-    empty texts) get no container. Repeated texts and repeated ``doc_id`` values are items of their own. Other columns of
+    ``max_segments`` pieces or ``loss_capacity`` loss-bearing tokens (default: ``capacity``), but for a piece that alone has more
+    loss-bearing tokens: only items larger than the capacity are divided, so it gets a container of its own. Items of 0 tokens
+    (null and empty texts) get no container. Repeated texts and repeated ``doc_id`` values are items of their own. Other columns of
     the input are ignored. The result depends only on the rows, not on their order or partitioning.
     """
     limits = np.array([capacity, max_segments, loss_capacity or capacity], dtype=float)
@@ -112,7 +113,8 @@ def pack(
         return run
 
     def shards(rows: int):
-        return F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, math.ceil(rows / SHARD))))
+        # Sizes are part of the hash, so documents without identifier, or with the same one, spread, too.
+        return F.pmod(F.xxhash64("doc_id", "piece", "doc_tokens", "loss_tokens"), F.lit(max(1, math.ceil(rows / SHARD))))
 
     first = materialize(full.groupBy(shards(count).alias("shard")).applyInPandas(packer(0), schema), "packed")
     again = first.filter(F.col("fill") < FULL).select(*columns)

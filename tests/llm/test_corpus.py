@@ -72,6 +72,20 @@ def test_pack(spark, monkeypatch, shard):
     assert pack(frame.limit(0), capacity).count() == 0
 
 
+def test_loss_bearing_tokens_limit_a_container(spark):
+    rng = random.Random(8)
+    docs = [(i if i % 3 else None, text(rng, rng.randrange(1, 10))) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = [r for r in pack(frame, 256, loss_capacity=100).collect() if r["container_id"] is not None]
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r["container_id"], []).append(r)
+    loads = {c: sum(r["loss_tokens"] for r in x) for c, x in by.items()}
+    assert all(load <= 100 or len(by[c]) == 1 for c, load in loads.items())
+    assert sum(load > 85 for load in loads.values()) > len(loads) / 2  # the limit that binds
+    assert len(loads) > len({r["container_id"] for r in pack(frame, 256).collect()})
+
+
 TARGETS = "source string, target_share double, max_repeats int"
 
 
