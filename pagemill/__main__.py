@@ -1,13 +1,16 @@
-"""Command line: ``python -m pagemill FORM [FILE]`` with FORM text, markdown, html, minified, sanitized, css or encoding; reads a file or the input."""
+"""Command line: ``python -m pagemill FORM [FILE]`` with FORM text, markdown, html, minified, sanitized, css, js, errors or
+encoding; reads a file or the input."""
 
 from __future__ import annotations
 
 import sys
 
 from pagemill.functions.markup import minify, serialize, to_markdown, to_text
+from pagemill.functions.script import minify_js
+from pagemill.functions.styles import minify_css
 from pagemill.operators.cleaning import READABLE, sanitize_tree
-from pagemill.operators.edit import minify_css
 from pagemill.sources.encodings import detect
+from pagemill.sources.errors import errors_of
 from pagemill.sources.tree import parse, parse_fragment
 
 FORMS = {
@@ -17,6 +20,8 @@ FORMS = {
     "minified": lambda t: minify(parse(t)),
     "sanitized": lambda t: serialize(sanitize_tree(parse_fragment(t), READABLE, []), inner=True),
     "css": minify_css,
+    "js": minify_js,
+    "errors": lambda t: "\n".join(f"{line}:{col} {code}" for code, _, line, col in errors_of(t)),
 }
 
 

@@ -75,26 +75,54 @@ def serialize(node: Node, inner: bool = False) -> str:
     return "".join(out)
 
 
-def minify(node: Node) -> str:
+@dataclass(frozen=True)
+class Minify:
+    """What minifying does to a page: each step can be left out; styles and scripts are shortened only on demand."""
+
+    collapse_whitespace: bool = True
+    omit_optional_tags: bool = True
+    unquote_attributes: bool = True
+    strip_comments: bool = True
+    minify_css: bool = False
+    minify_js: bool = False
+
+
+def minify(node: Node, options: Minify = Minify()) -> str:
     """Shorter HTML of the same tree: no comments, single blanks, attributes without needless quotes, optional end tags left out."""
+    from pagemill.functions.script import ScriptError, minify_js
+    from pagemill.functions.styles import minify_css
+
+    o = options
     out: list[str] = []
 
+    def raw_text(n: Node, data: str) -> str:
+        if o.minify_css and n.tag == "style":
+            return minify_css(data)
+        if o.minify_js and n.tag == "script" and n.attrs.get("type", "").lower() in ("", "module", "text/javascript", "application/javascript"):
+            try:
+                return minify_js(data)
+            except ScriptError:
+                return data
+        return data
+
     def visit(n: Node, keep: bool) -> None:
         for i, c in enumerate((n.content or n).children):
             if c.kind == "doctype":
                 out.append(f"<!doctype {c.tag}>")
+            elif c.kind == "comment" and not o.strip_comments:
+                out.append(f"<!--{c.data}-->")
             elif c.kind == "text":
                 raw = n.kind == "element" and n.tag in _RAW
                 data = c.data if raw or keep else re.sub(r"[ \t\n\f\r]+", " ", c.data)
                 if not raw and not keep and data == " " and (n.tag in ("html", "head", "table", "tbody", "tr", "ul", "ol", "select") or n.kind == "document"):
                     continue
-                out.append(data if raw else data.replace("&", "&amp;").replace("<", "&lt;"))
+                out.append(raw_text(n, data) if raw else data.replace("&", "&amp;").replace("<", "&lt;"))
             elif c.kind == "element":
                 attrs = ""
                 for k, v in c.attrs.items():
                     if k in BOOLEAN or not v:
                         attrs += f" {k}"
-                    elif re.search(r"[\s\"'=<>`]", v):
+                    elif not o.unquote_attributes or re.search(r"[\s\"'=<>`]", v):
                         attrs += f" {k}=\"{escape_value(v)}\"" if '"' not in v else f" {k}='{v.replace('&', '&amp;').replace(chr(39), '&#39;')}'"
                     else:
                         attrs += f" {k}={v.replace('&', '&amp;')}"
@@ -102,16 +130,15 @@ def minify(node: Node) -> str:
                 visit(c, keep or c.tag in ("pre", "textarea"))
                 following = next((x for x in n.children[i + 1 :] if not (x.kind == "text" and not x.data.strip())), None)
                 last = following is None
-                omit = (
-                    c.tag in VOID
-                    or c.tag in ("li", "dt", "dd", "tr", "td", "th", "option", "tbody", "tfoot")
+                omit = c.tag in VOID or o.omit_optional_tags and (
+                    c.tag in ("li", "dt", "dd", "tr", "td", "th", "option", "tbody", "tfoot")
                     and (last or following.kind == "element" and following.tag == c.tag)
                     or c.tag == "p" and following is not None and following.kind == "element" and following.tag in BLOCK - {"td", "th", "tr"}
-                )
+                )
                 if not omit or c.ns != HTML:
                     out.append(f"</{c.tag}>")
 
-    visit(node, False)
+    visit(node, not o.collapse_whitespace)
     return "".join(out)
 
 
@@ -558,6 +585,7 @@ class Html:
     formatter: str = "whatwg"
     layout: str | None = None
     unit: str = "  "
+    minify: Minify = Minify()
     sort_attributes: bool = False
     meta_charset: bool = False
     xml: bool = False
@@ -590,7 +618,7 @@ def serialize_with(node: Node, options: Html) -> str:
     if o.xml:
         return serialize_xml(node)
     if o.layout == "minify":
-        return minify(node)
+        return minify(node, o.minify)
     out: list[str] = []
 
     def visit(n: Node, depth: int, pretty: bool) -> None:

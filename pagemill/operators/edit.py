@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagemill.functions.markup import serialize
+from pagemill.functions.styles import minify_css
 from pagemill.operators.extract import LINKS, _join, base_of
 from pagemill.operators.selectors import CASELESS, CONTROLS, TEXTUAL, Complex, SelectorError, Simple, parse_selector
 from pagemill.sources.nodes import per_page
 from pagemill.sources.tree import Node, parse
 
 
+__all__ = ["Edit", "annotated_text", "css_to_xpath", "matches", "minify_css", "normalize", "normalizer", "rewrite", "select_many"]
+
+
 def _siblings(n: Node) -> list[Node]:
     return [c for c in n.parent.children if c.kind == "element"] if n.parent is not None else [n]
 
@@ -270,30 +274,6 @@ def annotated_text(pages: DataFrame, labels: dict[str, str], html: str = "html",
     return per_page(pages, kernel, "page_id bigint, text string, spans array<struct<start:int,end:int,label:string>>", [pa.string(), kind], html, key=key)
 
 
-_CSS = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|url\(\s*[^\"')][^)]*\))|/\*.*?\*/|(\s+)", re.S)
-
-
-def minify_css(text: str) -> str:
-    """A style sheet without comments and needless blanks; texts and addresses stay as they are."""
-    kept: list[str] = []
-
-    def one(m: re.Match) -> str:
-        if m[1]:
-            kept.append(m[1])
-            return f"{len(kept) - 1}"
-        return " "
-
-    text = _CSS.sub(one, text)
-    text = re.sub(r"\s+", " ", text).strip()
-    text = re.sub(r" ?([{};,>~]) ?", r"\1", text)
-    text = re.sub(r"(?<=[{;])([\w-]+) ?: ?", r"\1:", text)
-    text = re.sub(r";+\}", "}", text)
-    text = re.sub(r"(?<![\w#.])0\.(\d)", r".\1", text)
-    text = re.sub(r"#([0-9a-fA-F])\1([0-9a-fA-F])\2([0-9a-fA-F])\3(?![0-9a-fA-F\w])(?=[^{]*\})", r"#\1\2\3", text)
-    text = re.sub(r"[^{}]+\{\}", "", text)
-    return re.sub("([0-9]+)", lambda m: kept[int(m[1])], text)
-
-
 def css_to_xpath(selector: str) -> str:
     """The XPath that selects what a selector does; what XPath cannot say raises :class:`SelectorError`."""
 

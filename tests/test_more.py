@@ -116,8 +116,8 @@ def test_command_line(tmp_path, capsys):
 
     (tmp_path / "a.html").write_bytes(b"<h1>T</h1><p onclick=x>caf\xe9")
     path = str(tmp_path / "a.html")
-    assert [main([form, path]) for form in ("markdown", "sanitized", "encoding", "nope")] == [0, 0, 0, 2]
-    assert capsys.readouterr().out == "# T\n\ncafé\n<h1>T</h1><p>café</p>\ncp1252 0.3\n"
+    assert [main([form, path]) for form in ("markdown", "sanitized", "errors", "encoding", "nope")] == [0, 0, 0, 0, 2]
+    assert capsys.readouterr().out.startswith("# T\n\ncafé\n<h1>T</h1><p>café</p>\n1:1 missing-doctype\ncp1252 0.")
 
 
 @pytest.fixture(scope="module")
