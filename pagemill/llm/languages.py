@@ -349,14 +349,14 @@ def passages(df: DataFrame, text: str, samples: DataFrame, label: str | None = N
         share = min(1.0, 4 * LABELLED / max(1, df.count()))
         drawn = code.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates()
         labelled = [tuple(r) for r in drawn.orderBy(F.xxhash64("text"), "text", "lang").limit(LABELLED).collect()]
-    models = fit(sorted((r["text"], r["lang"]) for r in bounded.collect()), labelled)
+    models = df.sparkSession.sparkContext.broadcast(fit(sorted((r["text"], r["lang"]) for r in bounded.collect()), labelled))
     columns = [c for c in df.columns if c != "passages"]
     source = df.select(*[F.col(f"`{c}`") for c in columns], F.col(text).rlike(_SIGNS).alias("_suspect"))
     at = columns.index(text)
     schema = source.drop("_suspect").withColumn("passages", F.lit(None).cast(PASSAGES)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(models)
+        reader = Reader(models.value)
         for batch in batches:
             for part in range(0, batch.num_rows, 2000):
                 rows = batch.slice(part, 2000)
