@@ -808,6 +808,35 @@ def declared_shadows(root: Node) -> list[ShadowRoot]:
     return out
 
 
+@dataclass(frozen=True)
+class Matcher:
+    """A selector compiled once."""
+
+    pattern: str
+
+    def __post_init__(self) -> None:
+        parse_selector(self.pattern)
+
+    def match(self, node: Node) -> bool:
+        return match(node, self.pattern)
+
+    def select(self, node: Node, limit: int = 0) -> list[Node]:
+        found = select(node, self.pattern)
+        return found[:limit] if limit else found
+
+    def iselect(self, node: Node) -> Iterator[Node]:
+        yield from select(node, self.pattern)
+
+    def select_one(self, node: Node) -> Node | None:
+        return select_one(node, self.pattern)
+
+    def filter(self, nodes: Iterable[Node]) -> list[Node]:
+        return [n for n in nodes if n.kind == "element" and match(n, self.pattern)]
+
+    def closest(self, node: Node) -> Node | None:
+        return closest(node, self.pattern)
+
+
 # -- chains ----------------------------------------------------------------------------------------------------------------
 
 

@@ -15,10 +15,10 @@ from pagemill.functions.styles import minify_css
 from pagemill.operators.extract import LINKS, _join, base_of
 from pagemill.operators.selectors import CASELESS, CONTROLS, TEXTUAL, Complex, SelectorError, Simple, parse_selector
 from pagemill.sources.nodes import per_page
-from pagemill.sources.tree import Node, parse
+from pagemill.sources.tree import Node, parse, parse_fragment
 
 
-__all__ = ["Edit", "annotated_text", "css_to_xpath", "matches", "minify_css", "normalize", "normalizer", "rewrite", "select_many"]
+__all__ = ["Edit", "annotated_text", "css_to_xpath", "is_normalized", "matches", "matches_many", "minify_css", "normalize", "normalizer", "rewrite", "select_many"]
 
 
 def _siblings(n: Node) -> list[Node]:
@@ -165,7 +165,8 @@ def _relative(anchor: Node, selector: Complex) -> bool:
 
 @dataclass(frozen=True)
 class Edit:
-    """One step: ``remove``, ``unwrap``, ``empty``, ``rename``, ``set`` or ``drop`` (an attribute) for what ``selector`` selects."""
+    """One step for what ``selector`` selects: ``remove``, ``unwrap``, ``empty``, ``rename``, ``set`` or ``drop`` (an attribute), or ``before``,
+    ``after``, ``prepend``, ``append``, ``replace``, ``content`` (HTML)."""
 
     action: str
     selector: str
@@ -192,9 +193,29 @@ def _apply(document: Node, edit: Edit) -> None:
             n.attrs[edit.name] = edit.value
         elif edit.action == "drop":
             n.attrs.pop(edit.name, None)
+        elif edit.action in HTML_ACTIONS:
+            _insert(n, edit.action, edit.name)
 
 
-ACTIONS = ("remove", "unwrap", "empty", "rename", "set", "drop", "absolute", "comments")
+HTML_ACTIONS = ("before", "after", "prepend", "append", "replace", "content")
+
+
+def _insert(n: Node, action: str, html: str) -> None:
+    inside = action in ("prepend", "append", "content")
+    if not inside and n.parent is None:
+        return
+    place = n if inside else n.parent
+    new = parse_fragment(html, place.tag or "body")
+    at = 0 if action in ("prepend", "content") else len(n.children) if action == "append" else next(i for i, c in enumerate(place.children) if c is n) + (action == "after")
+    if action == "content":
+        n.children = []
+    for i, x in enumerate(new):
+        place.insert(at + i, x)
+    if action == "replace":
+        n.remove()
+
+
+ACTIONS = ("remove", "unwrap", "empty", "rename", "set", "drop", *HTML_ACTIONS, "absolute", "comments")
 
 
 def rewrite(pages: DataFrame, edits: list[tuple[str, ...]], html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
@@ -245,6 +266,17 @@ def select_many(pages: DataFrame, selectors: dict[str, str], html: str = "html",
     return per_page(pages, kernel, "page_id bigint, name string, pos int, tag string, text string", [pa.string(), pa.int32(), pa.string(), pa.string()], html, key=key)
 
 
+def matches_many(pages: DataFrame, selectors: dict[str, str], html: str = "html", key: str = "page_id") -> DataFrame:
+    """Which of several selectors every element matches: ``element_no`` in document order, ``tag``, ``names``; those that match none are left out."""
+    parsed = {name: parse_selector(s) for name, s in selectors.items()}
+
+    def kernel(text: str | None) -> list[tuple]:
+        found = [(i, n.tag, [k for k, v in parsed.items() if any(matches(n, s) for s in v)]) for i, n in enumerate(parse(text).elements(), 1)]
+        return [row for row in found if row[2]]
+
+    return per_page(pages, kernel, "page_id bigint, element_no int, tag string, names array<string>", [pa.int32(), pa.string(), pa.list_(pa.string())], html, key=key)
+
+
 def annotated_text(pages: DataFrame, labels: dict[str, str], html: str = "html", key: str = "page_id") -> DataFrame:
     """The text of a page's body and the spans of it that labelled selectors cover: ``text``, ``spans`` (start, end, label)."""
     parsed = {label: parse_selector(s) for label, s in labels.items()}
@@ -323,6 +355,10 @@ def normalizer(form: str) -> Callable[[str | None], str | None]:
     return lambda text: None if text is None else unicodedata.normalize(form, text)
 
 
+def is_normalized(text: str | None, form: str = "NFC") -> bool | None:
+    return None if text is None else unicodedata.is_normalized(form, text)
+
+
 def normalize(df: DataFrame, text: str, form: str = "NFC") -> DataFrame:
     """Column ``text`` in a Unicode normalization form; other columns stay, null stays null."""
     one = normalizer(form)

@@ -55,6 +55,73 @@ def rules(text: str) -> list[tuple[str, str]]:
     return out
 
 
+class StyleDeclaration:
+    """Properties of a rule or a ``style`` attribute, the last and the important ones first to count."""
+
+    def __init__(self, text: str) -> None:
+        self.found: dict[str, tuple[str, bool]] = {}
+        for name, value, important in declarations(text):
+            if important or not self.found.get(name, ("", False))[1]:
+                self.found.pop(name, None)
+                self.found[name] = (value, important)
+
+    @classmethod
+    def parse(cls, text: str) -> StyleDeclaration:
+        return cls(text)
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return self.found.get(name.lower(), (default, False))[0]
+
+    def __getitem__(self, name: str) -> str:
+        return self.found[name.lower()][0]
+
+    def important(self, name: str) -> bool:
+        return self.found.get(name.lower(), ("", False))[1]
+
+    @property
+    def properties(self) -> list[str]:
+        return list(self.found)
+
+    @property
+    def text(self) -> str:
+        return "; ".join(f"{k}: {v}{' !important' if i else ''}" for k, (v, i) in self.found.items())
+
+
+class StyleRule:
+    """A selector with its declarations."""
+
+    def __init__(self, selector: str, body: str) -> None:
+        self.selector, self.style = selector, StyleDeclaration(body)
+
+    @property
+    def specificity(self) -> tuple:
+        return max(map(specificity, parse_selector(self.selector)))
+
+
+class StyleSheet:
+    """The rules of a style sheet that hold for a screen."""
+
+    def __init__(self, text: str) -> None:
+        self.rules = [StyleRule(head, body) for head, body in rules(text)]
+
+    def __getitem__(self, at: int) -> StyleRule:
+        return self.rules[at]
+
+    def __len__(self) -> int:
+        return len(self.rules)
+
+
+def style_rules(sheets: DataFrame, css: str = "css", key: str = "page_id") -> DataFrame:
+    """``rule_no, selector, property, value, important``: the declarations of every style sheet."""
+
+    def kernel(text: str | None) -> list[tuple]:
+        found = StyleSheet(text or "").rules
+        return [(i, r.selector, name, r.style[name], r.style.important(name)) for i, r in enumerate(found, 1) for name in r.style.properties]
+
+    schema = "page_id bigint, rule_no int, selector string, property string, value string, important boolean"
+    return per_page(sheets, kernel, schema, [pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()], css, key=key)
+
+
 def computed(document: Node) -> list[tuple[Node, dict[str, str]]]:
     """The style of every element: importance, then origin (style attributes win), specificity and order decide."""
     sheet = []
