@@ -391,7 +391,7 @@ def paragraphs_of(document: Node, shortest: int = 40, density: float = 0.35) ->
         run: list[Node] = []
 
         def flush() -> None:
-            words = " ".join("".join(x.text() if x.kind == "element" else x.data for x in run).split())
+            words = re.sub(r"[ \t\n\f\r]+", " ", "".join(x.text() if x.kind == "element" else x.data for x in run)).strip(" ")
             if words:
                 linked = sum(_length(a) for x in run if x.kind == "element" for a in x.elements() if a.tag == "a")
                 poor = nav or "©" in words or "|" in words or linked / len(words) > density or not heading and len(words) < shortest

@@ -152,9 +152,9 @@ def extract_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_content(_pages(spark, sf_dir))
 
 
-@_query("extract_paragraphs", "SELECT page_id, count(*) AS n FROM paragraphs WHERE page_id IN (SELECT page_id FROM pages WHERE html IS NOT NULL) GROUP BY page_id")
+@_query("extract_paragraphs", "SELECT page_id, para_no, text, is_heading FROM paragraphs WHERE page_id IN (SELECT page_id FROM pages WHERE html IS NOT NULL)")
 def extract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.paragraphs(_pages(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
+    return extract.paragraphs(_pages(spark, sf_dir)).select("page_id", "para_no", "text", "is_heading")
 
 
 @_query("extract_dates")
@@ -317,7 +317,7 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.feed(rows).select("page_id", "type", "feed_title", "title", "link", "id", "published", "summary", "author", "content")
 
 
-@_query("find_text")
+@_query("find_text", "SELECT page_id, n FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '<p>[^<]*(?:lantern|Laterne)')) AS BIGINT) AS n FROM pages) WHERE n > 0")
 def find_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(_nodes(spark, sf_dir), tag="p", text="lantern|Laterne", within="body").groupBy("page_id").agg(F.count("*").alias("n"))
 
