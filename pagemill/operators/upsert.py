@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.identifiers import canonical_id, canonical_url
-from pagemill.session import materialize, scratch
+from pagemill.session import TABLES, materialize, scratch
 
 #: Rows of one identifier that one row of the store may list; larger groups are cut into blocks of this size.
 BLOCK = 2_000
@@ -69,6 +69,7 @@ class SortedStore:
     def run(self, name: str) -> DataFrame:
         """A run as a bucketed table."""
         table = f"{self.name}_{name}"
+        TABLES.add(table)
         if not self.spark.catalog.tableExists(table):
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(f"{self.path}/{name}").schema)
             keys = ", ".join(self.keys)
@@ -82,6 +83,7 @@ class SortedStore:
         # One task holds whole buckets, so each bucket is one file, as long as the partitions are not merged unevenly.
         writer = df.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).format("parquet").mode("overwrite")
         writer.option("path", f"{self.path}/{name}").saveAsTable(table)
+        TABLES.add(table)
         return self.spark.table(table)
 
     def upsert(self, df: DataFrame, collapse: list[Column], name: str) -> DataFrame:

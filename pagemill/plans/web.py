@@ -22,7 +22,7 @@ from pagemill.operators.xslt import transform
 from pagemill.plans.delivery import KEYED, URL
 from pagemill.session import materialize, spread_table, table
 from pagemill.sources.encodings import decode
-from pagemill.sources.nodes import parse_nodes, text_of, tokenize
+from pagemill.sources.nodes import STRUCTURE, parse_nodes, text_of, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,11 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(parse_nodes(_pages(spark, sf_dir)), "nodes")
 
 
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements with what structural relations need, parsed once and written."""
+    return materialize(parse_nodes(_pages(spark, sf_dir), columns=STRUCTURE, elements=True), "elements")
+
+
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The HTML contents of entries as pages."""
     return spread_table(spark, sf_dir, "entries").select(F.col("row_id").alias("page_id"), F.col("content").alias("html"), F.col("link").alias("url"))
@@ -60,33 +65,34 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages WHERE html LIKE '%<title>%</title>%'")
 def select_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
+    kept = ("page_id", "pre", "last", "parent", "depth", "node_type", "ns", "tag", "data")
+    nodes = materialize(parse_nodes(_pages(spark, sf_dir), columns=kept), "nodes")
     return text_of(nodes, select(nodes, "title")).select("page_id", F.col("text").alias("title"))
 
 
 @_query("count_paragraphs", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<p>')) AS tag FROM pages) GROUP BY page_id")
 def count_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(parse_nodes(_pages(spark, sf_dir)), "p").groupBy("page_id").agg(F.count("*").alias("n"))
+    return select(parse_nodes(_pages(spark, sf_dir), columns=STRUCTURE, elements=True), "p").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @_query("select_headings", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6]>')) AS tag FROM pages) GROUP BY page_id")
 def select_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(parse_nodes(_pages(spark, sf_dir)), ":is(h1, h2, h3, h4, h5, h6)").groupBy("page_id").agg(F.count("*").alias("n"))
+    return select(parse_nodes(_pages(spark, sf_dir), columns=STRUCTURE, elements=True), ":is(h1, h2, h3, h4, h5, h6)").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @_query("select_descendants", "SELECT page_id, len(regexp_extract_all(html, '<p>')) + len(regexp_extract_all(html, '<li>')) + len(regexp_extract_all(html, '<h[12]>')) AS n FROM pages WHERE regexp_matches(html, '<(p|li|h1|h2)>')")
 def select_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(_nodes(spark, sf_dir), "html > body *").groupBy("page_id").agg(F.count("*").alias("n"))
+    return select(_elements(spark, sf_dir), "html > body *").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @_query("select_has", "SELECT page_id FROM pages WHERE html LIKE '%<body>%<h1>%'")
 def select_has(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(_nodes(spark, sf_dir), "html:has(> body h1)").select("page_id")
+    return select(_elements(spark, sf_dir), "html:has(> body h1)").select("page_id")
 
 
 @_query("select_not", "SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages WHERE html LIKE '%<li>%'")
 def select_not(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(_nodes(spark, sf_dir), "body :not(p, h1, h2, head *)").groupBy("page_id").agg(F.count("*").alias("n"))
+    return select(_elements(spark, sf_dir), "body :not(p, h1, h2, head *)").groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @_query("select_attribute", "SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages WHERE html LIKE '%<html lang=%'")
@@ -96,13 +102,13 @@ def select_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("axis_ancestors")
 def axis_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
+    nodes = _elements(spark, sf_dir)
     return axis(nodes, select(nodes, "p"), "ancestor").groupBy("page_id", "start").agg(F.count("*").alias("n"))
 
 
 @_query("closest_body", "SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n FROM pages WHERE html LIKE '%<p>%'")
 def closest_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
+    nodes = _elements(spark, sf_dir)
     return closest(nodes, select(nodes, "p"), "body").groupBy("page_id").agg(F.count("*").alias("n"))
 
 

@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SCRATCH: list[str] = []
+#: Tables of the catalog over such paths.
+TABLES: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -63,6 +65,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def release(spark: SparkSession) -> None:
     """Remove the intermediate tables written so far; results that still read them must have been written before."""
     jvm = spark.sparkContext._jvm
+    while TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
     while _SCRATCH:
         path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

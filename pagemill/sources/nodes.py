@@ -78,8 +78,21 @@ def table_of(rows: list, types: list[pa.DataType], columns: list[str]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types, strict=True)], names=columns)
 
 
-def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Node rows of every page. A null page has the nodes of an empty document; text of any length is read whole."""
+#: Columns that structural relations need; attributes and texts, most of a node table's size, are not among them.
+STRUCTURE = ("page_id", "pre", "last", "parent", "depth", "ord", "el_idx", "el_count", "type_idx", "type_count", "node_type", "ns", "tag")
+
+
+def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", columns: tuple[str, ...] | None = None, elements: bool = False) -> DataFrame:
+    """Node rows of every page. A null page has the nodes of an empty document; text of any length is read whole.
+
+    ``columns`` names the only columns wanted, ``elements`` leaves out all other nodes: the kernel makes no more than that, since a
+    projection behind it could not save the work.
+    """
+    every = names(NODES)
+    wanted = [every.index(c) for c in columns or every]
+    fields = re.split(r", (?![^<]*>)", NODES)
+    schema, types = ", ".join(fields[i] for i in wanted), [_NODE_TYPES[i] for i in wanted]
+    kind = every.index("node_type")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +100,14 @@ def parse_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
                 part = batch.slice(at, PAGES)
                 rows = []
                 for page, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    rows += node_rows(page, Builder((text or "").removeprefix("﻿")).run())
-                yield table_of(rows, _NODE_TYPES, names(NODES))
-
-    return pages.select(F.col(key).cast("bigint"), html).mapInArrow(run, NODES)
+                    found = node_rows(page, Builder((text or "").removeprefix("﻿")).run())
+                    rows += [r for r in found if r[kind] == "element"] if elements else found
+                if columns is None:
+                    yield table_of(rows, types, every)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in zip(wanted, types, strict=True)], names=list(columns))
+
+    return pages.select(F.col(key).cast("bigint"), html).mapInArrow(run, schema)
 
 
 def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 import random
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 from zoneinfo import ZoneInfo
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import session
 from pagemill.functions.identifiers import canonical_id, canonical_url
 from pagemill.operators import upsert
 from pagemill.operators.instants import normalize_instants
@@ -92,6 +94,14 @@ def test_store_is_idempotent_and_persists(spark, tmp_path):
     assert store.run(store.runs()[0]).count() == 6
 
 
+def test_release(spark):
+    found = membership(rows(spark, [(1, 1, 1, None, "a", None, None)]))
+    assert found.count() == 1 and session.TABLES
+    path = found.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    session.release(spark)
+    assert not session.TABLES and not Path(path).exists()
+
+
 def test_merging_runs_needs_neither_exchange_nor_sort(spark, tmp_path):
     store = SortedStore(spark, ["k"], {"v": F.greatest}, str(tmp_path / "store"))
     df = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("v"))

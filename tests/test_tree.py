@@ -92,3 +92,13 @@ def test_rendering_options():
     assert to_markdown(parse("<h2>T</h2><p>" + "word " * 6), Markdown(headings=Markdown.Headings("atx_closed"), wrapping=Markdown.Wrapping(12))) == "## T ##\n\nword word\nword word\nword word"
     text = to_text(parse("<p>a <a href=u>l</a> <img alt=pic><ul><li>x</ul><table><tr><td>1<td>2</table>"), PlainText(links="footnote", images=True, table_cell_separator=" | ", bullet="-"))
     assert text == "a l [1] pic\n\n- x\n\n1 | 2\n\n[1] u"
+
+
+def test_columns_of_nodes(spark):
+    from pagemill.sources.nodes import STRUCTURE, parse_nodes
+
+    pages = spark.createDataFrame([(1, "<p class=a>x<b>y</b>"), (2, None)], "page_id bigint, html string")
+    whole, part = parse_nodes(pages), parse_nodes(pages, columns=STRUCTURE, elements=True)
+    assert part.columns == list(STRUCTURE)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.filter("node_type = 'element'").select(*STRUCTURE).collect()))
+    assert parse_nodes(pages, columns=("page_id", "tag")).count() == whole.count()
