@@ -65,6 +65,9 @@ def unescape_attribute(value: str) -> str:
     return _REFERENCE.sub(one, value)
 
 
+_BARE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)>")
+
+
 class Tokenizer:
     """Iterates over the tokens of ``text``; the tree builder sets ``raw`` and ``foreign`` between tokens."""
 
@@ -81,6 +84,10 @@ class Tokenizer:
                 yield from self._raw_text()
                 continue
             begin = self.at
+            if m := _BARE.match(text, begin):  # most tags have no attributes
+                self.at = m.end()
+                yield Token("end" if m[1] else "start", m[2].lower(), {}, at=begin)
+                continue
             lt = text.find("<", begin)
             while lt >= 0 and not self._opens(lt):
                 lt = text.find("<", lt + 1)
