@@ -369,6 +369,14 @@ def train(lexicon: Lexicon, table: Table, epochs: int = 8, rate: float = 0.35, d
     """Fit the field by AdaGrad on the exact gradient of the conditional likelihood."""
     data = []
     rng = np.random.default_rng(5)
+    seen: dict[tuple[str, str, int], list[int]] = {}  # words of the table repeat
+
+    def features(word: str, kind: str, offset: int) -> list[int]:
+        key = (word, kind, offset)
+        if key not in seen:
+            seen[key] = word_features(word, kind, offset)
+        return seen[key]
+
     for text, spans in table.rows():
         tokens, numbers = tokenize(text)
         kinds = [lexicon.kind(t) for t in tokens]
@@ -386,7 +394,7 @@ def train(lexicon: Lexicon, table: Table, epochs: int = 8, rate: float = 0.35, d
         padded = [(EDGE, "^")] * 3 + list(zip(tokens, kinds, strict=True)) + [(EDGE, "^")] * 3
         ids = []
         for i, keys in enumerate(window_features(*w) for w in _windows(kinds, numbers)):
-            row = [h for o in OFFSETS for h in word_features(*padded[i + 3 + o], o)]
+            row = [h for o in OFFSETS for h in features(*padded[i + 3 + o], o)]
             ids.append(np.array(row + [_hash(k) for k in keys]))
         data.append((ids, gold))
     k = len(LABELS)
