@@ -1,5 +1,5 @@
 """Command line: ``python -m pagemill FORM [FILE]`` with FORM text, markdown, html, minified, sanitized, css, js, errors or
-encoding; reads a file or the input."""
+encoding; reads a file or the input. ``python -m pagemill nodes PAGES.parquet OUT`` writes the node table of pages (``page_id``, ``html``)."""
 
 from __future__ import annotations
 
@@ -26,6 +26,13 @@ FORMS = {
 
 
 def main(arguments: list[str]) -> int:
+    if len(arguments) == 3 and arguments[0] == "nodes":
+        from pagemill.session import local_session
+        from pagemill.sources.nodes import parse_nodes
+
+        spark = local_session()
+        parse_nodes(spark.read.parquet(arguments[1])).write.mode("overwrite").parquet(arguments[2])
+        return 0
     if not arguments or arguments[0] not in (*FORMS, "encoding"):
         print(__doc__, file=sys.stderr)
         return 2

@@ -9,26 +9,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
-from pagemill.functions.markup import Html, Markdown, PlainText, escape
+from pagemill.functions.markup import Html, Markdown, Minify, PlainText, escape, escape_text, minify, serialize, to_source
 from pagemill.functions.phones import parse_phones
+from pagemill.functions.safe import Markup
 from pagemill.operators import dom, extract
 from pagemill.operators.cleaning import REMOVE, STRIP, Linkify, Policy, Transform, linkify_pages, nofollow, render, sanitize
 from pagemill.operators.conformance import conformance
-from pagemill.operators.edit import rewrite, select_many
+from pagemill.operators.edit import matches_many, rewrite, select_many
 from pagemill.operators.schema import validate
 from pagemill.operators.selectors import axis, select
-from pagemill.operators.styles import computed_styles
+from pagemill.operators.styles import computed_styles, style_rules
 from pagemill.operators.xpath import xpath
 from pagemill.operators.xslt import transform
 from pagemill.session import materialize, spread_table
 from pagemill.sources.encodings import decode
 from pagemill.sources.errors import locations, parse_errors
-from pagemill.sources.nodes import parse_nodes
-from pagemill.sources.tree import Node
+from pagemill.sources.handlers import SaxHandler, sax_parse
+from pagemill.sources.nodes import parse_nodes, per_page
+from pagemill.sources.push import PushParser
+from pagemill.sources.tree import Node, parse, parse_fragment
 from pagemill.sources.xml import Canonical, canonical_xml
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -747,3 +751,180 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["articles"] = _articles
 ORACLES["articles"] = _TITLES + "SELECT page_id, 'N' AS author, '2024-05-06' AS published, 'en' AS language, CAST(330 AS INTEGER) AS n, '## B' || chr(10) || chr(10) || trim(repeat('The ferry sells warm bread, and the harbour office keeps a list of every lantern. ', 4)) AS markdown FROM p"
+
+# -- pieces, events, ranges, fragments ---------------------------------------------------------------------------------------------
+
+
+def _valued(template: str, function: Callable[[str], list[str | None]]) -> Query:
+    """What a function of the source of each page gives, in order."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        kernel = lambda h: [(i, v) for i, v in enumerate(function(h), 1)]
+        return per_page(_filled(template, spark, sf_dir), kernel, "page_id bigint, seq int, value string", [pa.int32(), pa.string()], "html")
+
+    return query
+
+
+def _sequence(*values: str) -> str:
+    return _TITLES + " UNION ALL ".join(f"SELECT page_id, CAST({i} AS INTEGER) AS seq, {_pieces(v)} AS value FROM p" for i, v in enumerate(values, 1))
+
+
+def _pushed(html: str) -> list[str]:
+    parser = PushParser()
+    for at in range(0, len(html), 7):
+        parser.feed(html[at : at + 7])
+    return [serialize(parser.close())]
+
+
+QUERIES["push_parser"] = _valued(_MARKUP, _pushed)
+ORACLES["push_parser"] = _sequence(_HTMLS["html"][1])
+
+
+class _Names(SaxHandler):
+    def __init__(self) -> None:
+        self.seen: list[str] = []
+
+    def start_element(self, tag: str, attrs: dict[str, str]) -> None:
+        self.seen.append("<" + tag)
+
+    def end_element(self, tag: str) -> None:
+        self.seen.append(">" + tag)
+
+    def comment(self, data: str) -> None:
+        self.seen.append("!" + data.strip())
+
+
+def _sax(html: str) -> list[str]:
+    handler = _Names()
+    sax_parse(html, handler)
+    return [" ".join(handler.seen)]
+
+
+QUERIES["sax_events"] = _valued(_MARKUP, _sax)
+ORACLES["sax_events"] = _sequence("<html <head <title >title >head <body <p <br >br !c <svg <circle >circle >svg >p >body >html")
+
+
+def _fragments(html: str) -> list[str]:
+    """The same markup as content of several elements."""
+    out = []
+    for context in ("body", "tr", "table", "select", "textarea"):
+        root = Node("element", "div")
+        for n in parse_fragment(html, context):
+            root.append(n)
+        out.append(f"{context}: {serialize(root, inner=True)}")
+    return out
+
+
+QUERIES["fragments"] = _valued("<td title=\"{t}\">x<option>y", _fragments)
+ORACLES["fragments"] = _sequence("body: x<option>y</option>", 'tr: <td title="{a}">x<option>y</option></td>', 'table: <tbody><tr><td title="{a}">x<option>y</option></td></tr></tbody>', "select: x<option>y</option>", "textarea: &lt;td title=\"{e}\"&gt;x&lt;option&gt;y")
+
+
+def _ranges(html: str) -> list[str]:
+    body = parse(html).first("body")
+    p, q = dom.select(body, "p")
+    across = dom.Range(p.children[0], 1, q.children[0], 1)
+    text = str(across)
+    whole = dom.Range.within(q)
+    walker = dom.TreeWalker(body, frozenset(("element",)))
+    seen = []
+    while (n := walker.next_node()) is not None:
+        seen.append(n.tag)
+    across.extract_contents()
+    return [text, str(whole), " ".join(seen), serialize(body, inner=True)]
+
+
+QUERIES["tree_ranges"] = _valued("<body><p>ab<b>{t}</b></p><p>cd</p></body>", _ranges)
+ORACLES["tree_ranges"] = _sequence("b{r}c", "d", "p b p", "<p>a</p><p>d</p>")
+
+
+def _chain(html: str) -> list[str | None]:
+    page = dom.Query(html)
+    page("li").add_class("k").eq(0).attr("title", page("h1").text())
+    return [page("h1").text(), page("ul").html(), page("b").closest("p").attr("id"), str(len(page("p").siblings("ul")))]
+
+
+QUERIES["tree_chains"] = _valued(_TREE, _chain)
+ORACLES["tree_chains"] = _sequence("{r}", '<li class="k" title="{a}">3</li><li class="k">1</li><li class="k">2</li><li class="k">3</li>', "p", "1")
+
+
+def _built(html: str) -> list[str]:
+    title = parse(html).first("title").text()
+    page = dom.document(dom.E.h1(title, {"title": title}), dom.E.p("x", dom.E.b("y")), title=title, lang="en")
+    return [serialize(page), str(Markup("<i>{}</i>").format(title)), serialize(dom.from_etree(dom.to_etree("<p>" + str(escape_text(title)))).first("p"))]
+
+
+QUERIES["tree_builders"] = _valued("<title>{t}</title>", _built)
+ORACLES["tree_builders"] = _sequence(
+    '<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{e}</title></head><body><h1 title="{a}">{e}</h1><p>x<b>y</b></p></body></html>',
+    "<i>{sql:replace(replace(replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')}</i>",
+    "<p>{e}</p>",
+)
+
+_LONG = "<!-- c --><style> p { color : #ffffff } /* c */ </style><script> function f ( width ) { return width * 1000 ; } // c\n</script><ul><li>a<li title='x y'>{t}</ul><p>  b  </p><input disabled=''>"
+
+
+def _smaller(html: str) -> list[str]:
+    page = parse(html)
+    return [minify(page, Minify(minify_css=True, minify_js=True)), minify(page, Minify(omit_optional_tags=False, unquote_attributes=False))]
+
+
+QUERIES["minify_options"] = _valued(_LONG, _smaller)
+_MINI = "regexp_replace(replace(replace(r, '&', '&amp;'), '<', '&lt;'), '[ \\t\\n\\f\\r]+', ' ', 'g')"
+ORACLES["minify_options"] = _sequence(
+    "<html><head><style>p{sql:chr(123)}color:#fff{sql:chr(125)}</style><script>function f(a){sql:chr(123)}return a*1e3{sql:chr(125)}</script></head><body><ul><li>a<li title=\"x y\">{sql:" + _MINI + "}</ul><p> b </p><input disabled></body></html>",
+    "<html><head><style> p {sql:chr(123)} color : #ffffff {sql:chr(125)} /* c */ </style><script> function f ( width ) {sql:chr(123)} return width * 1000 ; {sql:chr(125)} // c\n</script></head><body><ul><li>a</li><li title=\"x y\">{sql:" + _MINI + "}</li></ul><p> b </p><input disabled></body></html>",
+)
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _filled("p, b.c { color: red; color: blue !important } @media screen { i { left: 0 } }", spark, sf_dir)
+    return style_rules(rows.withColumnRenamed("html", "css")).select("page_id", "selector", "property", "value", "important")
+
+
+QUERIES["style_rules"] = _sheets
+ORACLES["style_rules"] = _TITLES + "SELECT page_id, v.selector, v.property, v.value, v.important FROM p CROSS JOIN (VALUES ('p, b.c', 'color', 'blue', true), ('i', 'left', '0', false)) v(selector, property, value, important)"
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.labels(_filled("<label for=a>x {t} y</label><input id=a name=n><label>z <textarea name=m></textarea></label><label for=none>w</label>", spark, sf_dir)).select("page_id", "seq", "label", "control", "name")
+
+
+QUERIES["form_labels"] = _labelled
+ORACLES["form_labels"] = _TITLES + "SELECT page_id, CAST(1 AS INTEGER) AS seq, array_to_string(list_filter(regexp_split_to_array('x ' || r || ' y', '[\\s\\x{a0}\\x{85}\\x{1c}-\\x{1f}]+'), lambda x: x <> ''), ' ') AS label, 'input' AS control, 'n' AS name FROM p UNION ALL SELECT page_id, 2, 'z', 'textarea', 'm' FROM p"
+
+
+def _refreshing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.meta_refresh(_filled(_FACTS, spark, sf_dir))
+
+
+QUERIES["meta_refresh"] = _refreshing
+ORACLES["meta_refresh"] = _TITLES + "SELECT page_id, CAST(5 AS DOUBLE) AS seconds, 'http://a.example/b/next' AS target FROM p"
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matches_many(_filled(_TREE, spark, sf_dir), {"item": "ul > li", "last": ":last-child", "marked": "[id]"}).filter("tag IN ('li', 'p')")
+    return found.select("page_id", "element_no", "tag", F.array_join("names", " ").alias("names"))
+
+
+QUERIES["matches_many"] = _matched
+ORACLES["matches_many"] = _TITLES + "SELECT page_id, CAST(v.n AS INTEGER) AS element_no, v.tag, v.names FROM p CROSS JOIN (VALUES (6, 'li', 'item'), (7, 'li', 'item'), (8, 'li', 'item'), (9, 'li', 'item last'), (10, 'p', 'marked'), (12, 'p', 'last marked')) v(n, tag, names)"
+
+
+def _clean_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = "<title>{t}</title><a href='x?utm_source=q'>1</a><a href='https://a.example/d/x/'>2</a><a href='y.png'>3</a><a href='mailto:m'>4</a><a href='http://b.example/?b=2&a=1#f'>5</a>"
+    return extract.extract_links(_filled(page, spark, sf_dir)).select("page_id", "seq", "url", "text")
+
+
+QUERIES["clean_links"] = _clean_links
+ORACLES["clean_links"] = _TITLES + "SELECT page_id, CAST(v.n AS INTEGER) AS seq, v.url, v.text FROM p CROSS JOIN (VALUES (1, 'http://a.example/d/x', '1'), (2, 'http://b.example/?a=1&b=2#f', '5')) v(n, url, text)"
+
+
+def _source_again(html: str) -> list[str]:
+    tree = parse(html)
+    whole = to_source(tree, html)
+    tree.first("b").remove()
+    return [str(whole == html), to_source(tree, html)]
+
+
+QUERIES["lossless_source"] = _valued("<P  CLASS='a'>x &amp; y<B>{t}</B ><br/>z", _source_again)
+ORACLES["lossless_source"] = _sequence("True", "<P  CLASS='a'>x &amp; y<br/>z")

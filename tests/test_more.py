@@ -120,6 +120,15 @@ def test_command_line(tmp_path, capsys):
     assert capsys.readouterr().out.startswith("# T\n\ncafé\n<h1>T</h1><p>café</p>\n1:1 missing-doctype\ncp1252 0.")
 
 
+def test_command_line_over_tables(spark, tmp_path):
+    from pagemill.__main__ import main
+
+    pages = spark.createDataFrame([(1, "<p>x"), (2, None)], "page_id bigint, html string")
+    pages.write.parquet(str(tmp_path / "pages"))
+    assert main(["nodes", str(tmp_path / "pages"), str(tmp_path / "nodes")]) == 0
+    assert spark.read.parquet(str(tmp_path / "nodes")).filter("tag = 'p'").count() == 1
+
+
 @pytest.fixture(scope="module")
 def marked_up(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("marked_up"))
