@@ -288,7 +288,7 @@ class Proposer:
 
     def __post_init__(self) -> None:
         # Of a change and its reverse, which a much copied garbled text speaks for, the one with more votes holds.
-        single = [c for c, n in self.learned.items() if n >= VOTES and c[1] != "utf-8" and n >= self.learned.get((c[1], c[0]), 0)]
+        single = [c for c, n in sorted(self.learned.items(), key=lambda x: (-x[1], x[0])) if n >= VOTES and c[1] != "utf-8" and n >= self.learned.get((c[1], c[0]), 0)]
         self.single = [(c, {ord(x): _tables(c[1])[0][b] for x, b in _tables(c[0])[1].items() if x > "\x7f"}) for c in single]
         # UTF-8 proves itself; the reading that most twins speak for is tried first.
         self.multiple = sorted((r for r in READ_AS if (r, "utf-8") in self.learned), key=lambda r: -self.learned[r, "utf-8"])
@@ -308,9 +308,11 @@ class Proposer:
             if broken or read_as not in _CYRILLIC or (covered == own and own >= 6):
                 return [(token, back, read_as, "utf-8", True, None, None, 0)]
             found.append((back, read_as, "utf-8"))
-        if broken:
-            return [(token, None, None, None, True, None, None, 0)]
         signs = {ord(c) for c in token if c > "\x7f"}
+        if broken:  # damaged for certain; the change that most twins speak for undoes it, if one does
+            backs = ((token.translate(table), chain) for chain, table in self.single if signs <= table.keys())
+            back, chain = next(((b, c) for b, c in backs if b != token and _PLAIN.fullmatch(b) and any(map(str.isalpha, b))), (None, (None, None)))
+            return [(token, back, *chain, True, None, None, 0)]
         for chain, table in self.single:
             if signs <= table.keys():
                 back = token.translate(table)

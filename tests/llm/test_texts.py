@@ -115,6 +115,7 @@ def test_one_answer_for_each_token(spark):
     rows = Proposer({("cp1251", "utf-8"): 5, ("cp1252", "cp1251"): 9}).rows
     assert rows("Г\x98") == [("Г\x98", "Ø", "cp1251", "utf-8", True, None, None, 0)]
     assert [r[1] for r in rows("x\x98")] == [None]
+    assert Proposer({("cp1252", "cp850"): 9, ("cp1252", "cp437"): 4}).rows("f\x81r") == [("f\x81r", "für", "cp1252", "cp850", True, None, None, 0)]
     for token in ("Г\x98", "x�", "Ãîðîä", "РџРµС‚СЊ", "РЎ", "plain"):
         assert len({r[4] for r in rows(token)}) <= 1 and sum(r[4] for r in rows(token)) <= 1
 
