@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from pagemill.operators import extract
 from pagemill.operators.selectors import SelectorError, select, select_all
 from pagemill.plans import catalog
 from pagemill.sources.nodes import SELECTABLE, parse_nodes
@@ -40,3 +41,14 @@ def test_structure_needs_few_joins(spark, pages, tmp_path):
     pages.selectExpr("page_id AS row_id", "html AS title").write.parquet(f"{tmp_path}/entries.parquet")
     plan = catalog.QUERIES["selectors_structure"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 2
+
+
+def test_an_article_is_parsed_once(monkeypatch):
+    """The kernel without Spark: one tree a page, whatever the number of columns."""
+    parsed, parse = [], extract.parse
+    monkeypatch.setattr(extract, "parse", lambda text: parsed.append(text) or parse(text))
+    monkeypatch.setattr(extract, "per_page", lambda pages, kernel, schema, *rest, **more: kernel(pages, "http://a.example/"))
+    page = "<title>T</title><meta name=date content=2024-05-06><link rel=canonical href=/c><p>" + "long words, and more of them " * 3
+    (row,) = extract.articles(page)
+    assert parsed == [page]
+    assert row[0] == "T" and row[2] == "2024-05-06" and row[7] == "http://a.example/c"
