@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from pagemill.operators import extract
-from pagemill.operators.selectors import SelectorError, select, select_all
+from pagemill.operators import edit, extract
+from pagemill.operators.selectors import SelectorError, parse_selector, select, select_all
 from pagemill.plans import catalog
 from pagemill.sources.nodes import SELECTABLE, parse_nodes
+from pagemill.sources.tree import parse
 
 #: Beside the forest: templates, comments and empty texts in elements, tags in capitals, a null page.
 PAGES = [
@@ -52,3 +53,30 @@ def test_an_article_is_parsed_once(monkeypatch):
     (row,) = extract.articles(page)
     assert parsed == [page]
     assert row[0] == "T" and row[2] == "2024-05-06" and row[7] == "http://a.example/c"
+
+
+#: Selectors for which lists of elements could be wrong: letter case, lists in lists, roots, nothing.
+TRICKY = ["P", "*", "[CLASS]", "LI.k", "clippath", "clipPath", ":is(p:bad, li)", ":is(.k, #in):not(x)", ":has(i)", ":root > body", ":scope", "svg *", "body :not(p, li, :has(*))", "p:hover", ":is(a:hover, li)"]
+
+
+def test_listed_elements_are_all():
+    every = {s: parse_selector(s) for s in [*(s for group in catalog._SELECTORS.values() for s in group), *SELECTORS, *TRICKY]}
+    for page in PAGES:
+        document = parse(page)
+        wanted = [(s, [n for n in document.elements() if any(edit.matches(n, c) for c in cs)]) for s, cs in every.items()]
+        assert edit.selected(document, {s: [(c, edit._keys(c)) for c in cs] for s, cs in every.items()}) == wanted
+
+
+def test_only_listed_elements_are_tried(monkeypatch):
+    tried, matches = [], edit.matches
+    monkeypatch.setattr(edit, "matches", lambda n, *rest: tried.append(n) or matches(n, *rest))
+    monkeypatch.setattr(edit, "per_page", lambda pages, kernel, *rest, **more: kernel(pages))
+    assert [(r[0], r[2]) for r in edit.select_many(PAGES[0], {"a": "#p1", "b": "li", "c": "p:hover"})] == [("a", "p"), *[("b", "li")] * 4]
+    assert len(tried) == 5
+
+
+def test_rows_with_one_key_stay_apart(spark, tmp_path):
+    """As in the SQL: rows of a table are not summed up by their key."""
+    spark.createDataFrame([(1, "a"), (1, "b")], "row_id bigint, title string").write.parquet(f"{tmp_path}/entries.parquet")
+    rows = [r["n"] for r in catalog.QUERIES["selectors_together"](spark, str(tmp_path)).filter("selector = 'p'").collect()]
+    assert rows == [4, 4]
