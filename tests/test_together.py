@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from pagemill.operators import edit, extract
+from pagemill.functions.markup import to_markdown
+from pagemill.operators import cleaning, edit, extract
 from pagemill.operators.selectors import SelectorError, parse_selector, select, select_all
 from pagemill.plans import catalog
 from pagemill.sources.nodes import SELECTABLE, parse_nodes
@@ -80,3 +81,15 @@ def test_rows_with_one_key_stay_apart(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (1, "b")], "row_id bigint, title string").write.parquet(f"{tmp_path}/entries.parquet")
     rows = [r["n"] for r in catalog.QUERIES["selectors_together"](spark, str(tmp_path)).filter("selector = 'p'").collect()]
     assert rows == [4, 4]
+
+
+def test_a_page_is_parsed_once_for_all_forms(monkeypatch):
+    parsed = []
+    monkeypatch.setattr(cleaning, "parse", lambda text: parsed.append(text) or parse(text))
+    monkeypatch.setattr(cleaning, "per_page", lambda pages, kernel, *rest, **more: kernel(pages))
+    page = catalog._DOC.replace("{t}", "A _title_")
+    options = {name: o for name, (o, _) in catalog._MARKDOWN.items()}
+    assert cleaning.render_many(page, "markdown", options) == [(to_markdown(parse(page), o), name) for name, o in options.items()]
+    assert parsed == [page]
+    with pytest.raises(ValueError, match="change the tree"):
+        cleaning.render_many(page, "minified", {})
